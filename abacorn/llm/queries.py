@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from abacorn.llm import decontam, langid, lines, neardup, packing, repetition, toxicity
+from abacorn.llm import decontam, langid, licenses, lines, neardup, packing, repetition, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,13 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is the file source/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.when(F.col("source").isNotNull() & F.col("doc_id").isNotNull(), F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_repetition": op2_repetition,
@@ -49,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_language": op8_language,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
