@@ -1,8 +1,8 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut at block-level tags into flat blocks of text. Each block has its word count and link density and those of its
-neighbours, and what its place in the markup says (inside navigation, header, footer, aside or form; inside article or main; a class or id that
-names boilerplate or content; heading). A decision tree trained on a small labelled table, pages that rules build here from a fixed seed,
+neighbours, what its place in the markup says (inside navigation, header, footer, aside or form; inside article or main; a class or id that
+names boilerplate or content; heading) and what its page has of content elements and blocks. A decision tree trained on a small labelled table, pages that rules build here from a fixed seed,
 keeps the blocks of the article. Scripts, styles, comments and the head never become blocks.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by two
@@ -45,7 +45,10 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Depth and smallest leaf of the tree.
 DEPTH, LEAF, SEED = 7, 4, 11
-FEATURES = "words density words_before density_before words_after density_after menu header footer aside form body bad good heading item paragraph".split()
+FEATURES = "words density words_before density_before words_after density_after menu header footer aside form body bad good heading item paragraph body_on_page good_on_page blocks_on_page".split()
+
+
+PLACES = FEATURES[6:17]
 
 
 @dataclass
@@ -72,7 +75,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = text.count(" ") + 1
             flags = stack[-1][1]
-            out.append(Block(text, words, min(1.0, linked[1] / words), tuple(f in flags for f in FEATURES[6:])))
+            out.append(Block(text, words, min(1.0, linked[1] / words), tuple(f in flags for f in PLACES)))
         held.clear()
         linked[1] = 0
 
@@ -146,7 +149,8 @@ def features(found: list[Block]) -> np.ndarray:
     place = np.array([b.place for b in found], float)
     before = lambda v: np.concatenate([[0.0], v[:-1]])
     after = lambda v: np.concatenate([v[1:], [0.0]])
-    return np.column_stack([words, density, before(words), before(density), after(words), after(density), place])
+    page = [place[:, PLACES.index("body")].max(), place[:, PLACES.index("good")].max(), len(found)]
+    return np.column_stack([words, density, before(words), before(density), after(words), after(density), place, np.tile(page, (len(found), 1))])
 
 
 def labelled_pages(n: int, seed: int) -> list[list[tuple[str, int]]]:
