@@ -25,10 +25,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 coordinates: a pair of similarity 0.8 misses all of them with probability 0.0002.
 BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
-#: A pair goes to the exact check from this estimate on: four standard deviations below 0.8 at 64 coordinates.
-ESTIMATE = 0.6
-#: Rows of a bucket that one task compares with each other; larger buckets become pairs of blocks.
-BLOCK = 2048
+#: Rounds of stars before what is left of the buckets is compared in blocks; shingle occurrences of a block.
+STARS, BLOCK = 3, 1_000_000
 #: Edges of the rank cells below 1; above 1 a cell is one wide.
 SMALL_CELLS = [0.0, *(2.0**-e for e in range(6, 0, -1))]
 WORD = re.compile(r"\w+")
@@ -136,7 +134,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-SIGNED, UNITS = "doc_id long, node long, bands array<long>, sign binary", "node long, units array<long>"
+SIGNED, UNITS = "doc_id long, node long, bands array<long>", "node long, units array<long>, packed binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +144,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compact = np.searchsorted(some, owner)
         signatures = dart_signatures(compact, value, weight, len(some))
         keys = band_keys(signatures)
-        marks = (signatures & np.uint64(0xFFFFFFFF)).astype("<u4")
-        bands, signs = [None] * part.num_rows, [None] * part.num_rows
+        bands = [None] * part.num_rows
         for j, i in enumerate(some):
-            bands[i], signs[i] = keys[j], marks[j].tobytes()
-        yield batch(arrow_schema(SIGNED), part.column("doc_id"), part.column("node"), bands, signs)
+            bands[i] = keys[j]
+        yield batch(arrow_schema(SIGNED), part.column("doc_id"), part.column("node"), bands)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,69 +159,81 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layer = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
         units, who = mix64(value[at] ^ mix64(layer.astype(np.uint64))).astype(np.int64), owner[at]
         edges = np.searchsorted(who, np.arange(part.num_rows + 1))
-        yield batch(arrow_schema(UNITS), part.column("node"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(units)))
-
-
-def _compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one pair of blocks whose signatures agree in enough coordinates."""
-    low, high = key[1], key[2]
-    frame = frame.drop_duplicates(["node", "block"])
-    one, two = frame[frame["block"] == low], frame[frame["block"] == high]
-    sign = {b: np.frombuffer(b"".join(f["sign"]), dtype="<u4").reshape(len(f), -1) for b, f in ((low, one), (high, two))}
-    mine, theirs = one["node"].to_numpy(), two["node"].to_numpy()
-    a, b = [], []
-    for i, row in enumerate(sign[low]):
-        near = (sign[high] == row).mean(axis=1) >= ESTIMATE
-        if low == high:
-            near[: i + 1] = False
-        found = theirs[near]
-        a.append(np.full(len(found), mine[i]))
-        b.append(found)
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-
-def _exact(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) with their exact weighted Jaccard similarity; texts are read again, of the nodes in question alone."""
-    involved = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node"), "involved")
-    texts = docs.join(broadcast_if_small(involved.select("node", F.col("rep").alias("_rep"))), "node").where(F.col("doc_id").eqNullSafe(F.col("_rep")))
-    units = materialise(texts.select("node", "text").mapInArrow(_units, UNITS).dropDuplicates(["node"]), "units")
+        packed = [units[a:b].astype("<i4").tobytes() for a, b in zip(edges[:-1], edges[1:])]
+        yield batch(arrow_schema(UNITS), part.column("node"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(units)), packed)
+
+
+def _compare(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between the parts of one pair of blocks: enough to join all parts that a near pair joins, one row for each join."""
+    frame = frame.drop_duplicates(["node", "block"]).reset_index(drop=True)
+    node = frame["node"].to_numpy()
+    _, part = np.unique(frame["root"].to_numpy(), return_inverse=True)
+    sizes = np.array([len(x) // 4 for x in frame["packed"]])
+    _, flat = np.unique(np.frombuffer(b"".join(frame["packed"]), dtype="<i4"), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark, a, b = np.zeros(flat.max() + 1, dtype=np.int64), [], []
+    for i in np.flatnonzero(part != np.bincount(part).argmax()):  # pairs within the largest part need no look
+        mark[flat[starts[i] : starts[i] + sizes[i]]] = 1
+        both = np.add.reduceat(mark[flat], starts)
+        mark[flat[starts[i] : starts[i] + sizes[i]]] = 0
+        near = (both >= SIMILARITY * (sizes + sizes[i] - both) - 1e-9) & (part != part[i])
+        for j in np.flatnonzero(near):
+            if part[j] != part[i]:
+                a.append(node[i])
+                b.append(node[j])
+                part[part == part[j]] = part[i]
+    return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+
+def _exact(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """The pairs (a, b) of weighted Jaccard similarity SIMILARITY or more."""
     side = lambda c: units.select(F.col("node").alias(c), F.col("units").alias(f"u{c}"))
     both = F.size(F.array_intersect("ua", "ub"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", (both / (F.size("ua") + F.size("ub") - both)).alias("similarity"))
+    near = both >= SIMILARITY * (F.size("ua") + F.size("ub") - both) - 1e-9
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b")
 
 
-def _links(signed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between different texts that pass the exact check.
+def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different texts that pass the exact check: enough of them to join all texts that a near pair in a bucket joins.
 
-    Every bucket of a band elects one member, the smallest under a mask of the bucket's own, and every other member is checked
-    against it: rows grow with the members, not their square. Members that fail against it are compared among themselves and with
-    those that passed by signature, in pairs of blocks, and what looks near is checked exactly.
+    In a round every bucket of a band elects one member, the smallest under a mask of the bucket's and the round's own, and every other
+    member that isn't joined with it yet is checked against it exactly: rows grow with the members, not their square. Buckets whose
+    members are all joined are done. What is left after the last round is compared in pairs of blocks, again exactly, and a block
+    returns a row for each join that it makes, at most one less than it has members.
     """
-    rows = materialise(nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band")), "bands")
-    chosen = rows.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.col("band"))).alias("least"), F.count("*").alias("n")).where("n > 1")
-    chosen = chosen.select("band", "n", F.col("least").bitwiseXOR(F.col("band")).alias("leader"))
-    starred = materialise(rows.join(chosen, "band").where(F.col("node") != F.col("leader")), "starred")
-    pairs = materialise(starred.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    checked = materialise(_exact(pairs, nodes.select("node", "rep"), docs), "checked")
-    good = checked.where(F.col("similarity") >= SIMILARITY).select("a", "b")
-    failed = checked.where(F.col("similarity") < SIMILARITY).select(F.col("a").alias("node"), F.col("b").alias("leader"))
-    left = materialise(starred.join(failed, ["node", "leader"]).select("band", "node"), "left")
-    near = _among(left, signed)
-    if near.isEmpty():
-        return good
-    again = materialise(_exact(near, nodes.select("node", "rep"), docs), "again")
-    return good.union(again.where(F.col("similarity") >= SIMILARITY).select("a", "b"))
-
-
-def _among(left: DataFrame, signed: DataFrame) -> DataFrame:
-    """Candidate pairs within the rows that a bucket's elected member didn't take."""
-    counts = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = left.join(counts, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
-    rows = rows.join(signed.where(F.col("sign").isNotNull()).select("node", "sign").dropDuplicates(["node"]), "node")
+    rows = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
+    several = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    rows = materialise(rows.join(several, "band"), "bands")
+    involved = broadcast_if_small(materialise(rows.select("node").distinct().join(nodes.select("node", F.col("rep").alias("_rep")), "node"), "involved"))
+    texts = docs.join(involved, "node").where(F.col("doc_id").eqNullSafe(F.col("_rep")))
+    units = materialise(texts.select("node", "text").mapInArrow(_units, UNITS).dropDuplicates(["node"]), "units")
+    rooted = rows.withColumn("root", F.col("node"))
+    links = None
+    for turn in range(STARS):
+        mask = F.xxhash64("band", F.lit(turn))
+        chosen = rooted.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("least")).select("band", F.col("least").bitwiseXOR(mask).alias("node"))
+        chosen = chosen.join(rooted, ["band", "node"]).select("band", F.col("node").alias("leader"), F.col("root").alias("leading"))
+        pairs = rooted.join(chosen, "band").where("root != leading").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        good = _exact(materialise(pairs, "pairs"), units)
+        links = materialise(good if links is None else links.union(good), "links")
+        rooted = _unsettled(rooted.drop("root"), components(links))
+        if rooted.isEmpty():
+            return links
+    rows = rooted.join(units.select("node", "packed", F.size("units").alias("size")), "node")
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    totals = rooted.join(units.select("node", F.size("units").alias("size")), "node").groupBy("band").agg(F.sum("size").alias("total")).select("band", blocks.alias("blocks"))
+    rows = rows.join(totals, "band").withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "sign")
-    return materialise(rows.groupBy("band", "low", "high").applyInPandas(_compare, "a long, b long").distinct(), "near")
+    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "packed")
+    found = materialise(rows.groupBy("band", "low", "high").applyInPandas(_compare, "a long, b long").distinct(), "found")
+    return links.union(_exact(found, units))
+
+
+def _unsettled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, band, root) of the buckets that still hold several parts."""
+    rooted = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
+    return materialise(rooted.join(bands, "band").select("node", "band", "root"), "unsettled")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = worded.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     one = worded.join(reps, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
     nodes = materialise(one.select("node", "rep", "copies", "bands"), "nodes")
-    found = components(_links(signed, nodes, docs))
+    found = components(_links(nodes, docs))
     rooted = nodes.select("node", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("node", "class_id")
     alone = F.col("bands").isNull()
