@@ -81,8 +81,8 @@ def exact_subtract(a: Column, b: Column) -> Column:
 def exact_sum(x: Column) -> Column:
     """Aggregate of exact values, carried; null from 2^128."""
     low, high, word = F.sum(x["lo"]), F.sum(x["hi"]), F.lit(WORD)
-    carry = F.floor(low.cast("decimal(38,0)") / word).cast("decimal(30,0)")
     rest = (low.cast("decimal(38,0)") % word).cast(U64)
+    carry = ((low - rest).cast("decimal(38,0)") / word).cast("decimal(30,0)")  # a whole number
     return F.when(high + carry < word, exact((high + carry), rest))
 
 

@@ -18,7 +18,7 @@ from abacorn import schema as S
 from abacorn.sources.wal import ACCOUNT_BYTES, TRANSFER_BYTES
 
 #: The header and the file names of binary snapshots.
-MAGIC, NAME = b"LEDGER03", re.compile(r"(\d+)\.snap")
+MAGIC, NAME = b"LEDGER03", re.compile(r".*-(\d+)\.snap")
 SCHEMA = "snapshot_lsn long, lsn long, type int, payload binary"
 
 
