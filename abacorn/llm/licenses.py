@@ -142,7 +142,8 @@ def directory(path: Column) -> Column:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """A row for each row of files (path, text and whatever else is to stay): licence, cosine, origin (own, inherited or none), from_path."""
+    """A row for each row of files (path, text, and doc_id if there is one): licence, cosine, origin (own, inherited or none), from_path."""
+    files = files.select(*(c for c in ("doc_id",) if c in files.columns), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     own = materialise(own_licences(files).withColumn("_dir", directory(F.col("path"))), "own")
     file = (F.col("path").rlike(NAMES) | (2 * F.col("licence_chars") > F.col("chars"))) & F.col("licence").isNotNull() & F.col("path").isNotNull()
     homes = materialise(own.where(file).groupBy("_dir").agg(F.min(F.struct("licence", "path")).alias("_home")), "homes")

@@ -68,15 +68,19 @@ def clean(text: str, doc_id: int | None, first: dict[int, int | None]) -> tuple[
     return ("\n".join(out), len(lines) - len(out)) if len(out) < len(lines) else (text, 0)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source, whatever else), with text cleaned and, where there is one, n_chars counted again; and n_lines_removed."""
+def dedup_lines(docs: DataFrame, counter: str = "n_lines_removed") -> DataFrame:
+    """docs (doc_id, text, source, whatever else), with text cleaned and, where there is one, n_chars counted again; and the lines removed.
+
+    A column of docs with counter's name gives way to it.
+    """
+    docs = docs.drop(counter)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     found = boilerplate(narrow)
-    out = _in_place(docs, found) if found.count() <= BROADCAST_ROWS else _by_shuffle(docs, found)
+    out = _in_place(docs, found, counter) if found.count() <= BROADCAST_ROWS else _by_shuffle(docs, found, counter)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def _in_place(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _in_place(docs: DataFrame, found: DataFrame, counter: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast({r["hash"]: r["first"] for r in found.collect()})
     names, at = docs.columns, docs.columns.index("text")
 
@@ -86,27 +90,27 @@ def _in_place(docs: DataFrame, found: DataFrame) -> DataFrame:
             both = [(None, 0) if t is None else clean(t, i, sent.value) for i, t in zip(ids, part.column("text").to_pylist())]
             columns = list(part.columns)
             columns[at] = pa.array([t for t, _ in both], part.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in both], pa.int32())], names=[*names, "n_lines_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in both], pa.int32())], names=[*names, counter])
 
-    return docs.mapInArrow(run, docs.withColumn("n_lines_removed", F.lit(0).cast("int")).schema)
+    return docs.mapInArrow(run, docs.withColumn(counter, F.lit(0).cast("int")).schema)
 
 
-def _by_shuffle(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _by_shuffle(docs: DataFrame, found: DataFrame, counter: str) -> DataFrame:
     """The same by a join of line places: for more boilerplate than a task should hold."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    places = rows.where("text is not null").select("_row", F.col("doc_id").cast("long").alias("_id"), F.posexplode(F.split("text", "\n")).alias("_at", "_raw"))
-    line = F.btrim("_raw", F.lit(ENDS))
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    places = rows.where("text is not null").select("__row", F.col("doc_id").cast("long").alias("__id"), F.posexplode(F.split("text", "\n")).alias("__at", "__raw"))
+    line = F.btrim("__raw", F.lit(ENDS))
     words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    hit = places.where(words >= LEAST_WORDS).select("_row", "_id", "_at", F.xxhash64(line).alias("hash")).join(found, "hash")
-    home = hit.where(F.col("_id") == F.col("first")).groupBy("_row", "hash").agg(F.min("_at").alias("_at"))
-    gone = hit.select("_row", "hash", "_at").join(home, ["_row", "hash", "_at"], "left_anti").groupBy("_row").agg(F.collect_set("_at").alias("_gone"))
-    joined = rows.join(gone, "_row", "left")
-    rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    joined = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
-    return joined.withColumn("n_lines_removed", F.coalesce(F.size("_gone"), F.lit(0))).select(*docs.columns, "n_lines_removed")
+    hit = places.where(words >= LEAST_WORDS).select("__row", "__id", "__at", F.xxhash64(line).alias("hash")).join(found, "hash")
+    home = hit.where(F.col("__id") == F.col("first")).groupBy("__row", "hash").agg(F.min("__at").alias("__at"))
+    gone = hit.select("__row", "hash", "__at").join(home, ["__row", "hash", "__at"], "left_anti").groupBy("__row").agg(F.collect_set("__at").alias("__gone"))
+    joined = rows.join(gone, "__row", "left")
+    rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
+    joined = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
+    return joined.withColumn(counter, F.coalesce(F.size("__gone"), F.lit(0))).select(*docs.columns, counter)
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The columns of docs, cleaned; a document that had words and lost every one of them is all copies of lines kept elsewhere, and goes."""
-    words = F.col("text").rlike(r"\S")
-    return dedup_lines(docs).where(F.col("text").isNull() | (F.col("n_lines_removed") == 0) | words).select(*docs.columns)
+    words, counter = F.col("text").rlike(r"\S"), "__abacorn_lines_removed"
+    return dedup_lines(docs, counter).where(F.col("text").isNull() | (F.col(counter) == 0) | words).select(*docs.columns)

@@ -270,6 +270,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The columns of docs, with one document of each class; rows without a doc_id stay, and repeated rows of one doc_id are one."""
     kept = materialise(near_duplicates(docs).where("is_kept").select("doc_id"), "kept")
     repeated = not kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    ids = kept.where("doc_id is not null").distinct().withColumnRenamed("doc_id", "_kept_id")
-    out = docs.join(broadcast_if_small(materialise(ids, "ids")), F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    ids = kept.where("doc_id is not null").distinct().withColumnRenamed("doc_id", "__abacorn_kept_id")
+    out = docs.join(broadcast_if_small(materialise(ids, "ids")), F.col("doc_id") == F.col("__abacorn_kept_id"), "left_semi")
     return (out.dropDuplicates(["doc_id"]) if repeated else out).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -45,7 +45,7 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Depth and smallest leaf of the tree.
 DEPTH, LEAF, SEED = 7, 4, 11
-FEATURES = "words density words_before density_before words_after density_after menu header footer aside form body bad good heading item paragraph body_on_page good_on_page blocks_on_page".split()
+FEATURES = "words density words_before density_before words_after density_after menu header footer aside form body bad good heading item paragraph body_on_page good_on_page blocks_on_page outside".split()
 
 
 PLACES = FEATURES[6:17]
@@ -149,8 +149,10 @@ def features(found: list[Block]) -> np.ndarray:
     place = np.array([b.place for b in found], float)
     before = lambda v: np.concatenate([[0.0], v[:-1]])
     after = lambda v: np.concatenate([v[1:], [0.0]])
+    inside = np.maximum(place[:, PLACES.index("body")], place[:, PLACES.index("good")])
+    outside = (inside < inside.max()).astype(float)  # the page has content elements, and the block is in none
     page = [place[:, PLACES.index("body")].max(), place[:, PLACES.index("good")].max(), len(found)]
-    return np.column_stack([words, density, before(words), before(density), after(words), after(density), place, np.tile(page, (len(found), 1))])
+    return np.column_stack([words, density, before(words), before(density), after(words), after(density), place, np.tile(page, (len(found), 1)), outside])
 
 
 def labelled_pages(n: int, seed: int) -> list[list[tuple[str, int]]]:
@@ -168,28 +170,33 @@ def labelled_pages(n: int, seed: int) -> list[list[tuple[str, int]]]:
             continue
         page = [(some('<header class="site-header">{}</header>', '<div id="header">{}</div>', "<header>{}</header>").format(prose(1, 8)), 0)] if chance(0.5) else []
         menu = some(("<nav><ul>", "</ul></nav>"), ('<div class="menu"><ul>', "</ul></div>"), ("<ul>", "</ul>"))
-        page += [(menu[0], 0), *((f"<li>{link(int(rng.integers(1, 3)))}</li>", 0) for _ in range(int(rng.integers(3, 9)))), (menu[1], 0)]
+        if chance(0.7):
+            page += [(menu[0], 0), *((f"<li>{link(int(rng.integers(1, 3)))}</li>", 0) for _ in range(int(rng.integers(1, 9)))), (menu[1], 0)]
         notices = ['<div class="cookie-notice">{}</div>', '<div class="ad">{}</div>', '<div class="alert banner">{}</div>', '<aside class="promo">{}</aside>', '<div id="ad-top">{}</div>', '<div class="advert">{}</div>']
         page += [(some(*notices).format(prose(2, 30)), 0) for _ in range(int(rng.integers(0, 3)))]
         style = some(("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ('<div id="content">', "</div>"), ("<article>", "</article>"), ("<div>", "</div>"))
         article = [(f"<h1>{prose(1, 14)}</h1>", 1)] if chance(0.9) else []
         for _ in range(int(rng.integers(0, 9))):
             article.append(some((f"<p>{prose(1, 120)}</p>", 1), (f"<p>{prose(10, 60)} {link(2)} {prose(5, 40)}</p>", 1), (f"<p><b>{prose(3, 50)}<br>", 1), (f"<h2>{prose(1, 6)}</h2>", 1), (f"<blockquote>{prose(5, 40)}</blockquote>", 1), (f"<ul><li>{prose(2, 15)}</li></ul>", 1)))
-            if chance(0.06):
+            if chance(0.12):
                 article.append((some(*notices).format(prose(2, 25)), 0))
-        page += [(style[0], 0), *article, (style[1], 0)]
+        outside = lambda: [(some("<div>{}</div>", "<p>{}</p>", "<section>{}</section>").format(prose(2, 60)), 0)] if style[0] in ("<article>", "<main>") and chance(0.3) else []
+        page += [*outside(), (style[0], 0), *article, (style[1], 0), *outside()]
         if chance(0.4):
             page.append((some('<aside class="sidebar">{}</aside>', '<div class="sidebar">{}</div>', '<div class="related">{}</div>').format(f"<h3>{prose(1, 4)}</h3><ul>" + "".join(f"<li>{link(4)}</li>" for _ in range(4)) + f"</ul><p>{prose(3, 20)}</p>"), 0))
         if chance(0.4):
             page.append((some('<section class="comments">{}</section>', '<div id="comments">{}</div>').format("".join(f'<div class="comment"><p>{prose(3, 60)}</p></div>' for _ in range(int(rng.integers(1, 5))))), 0))
         if chance(0.3):
             page.append((f'<form action="/s"><label>{prose(1, 5)}</label><button>{word()}</button></form>', 0))
+        if chance(0.3):
+            pages.append(page)
+            continue
         page.append((some("<footer>{}</footer>", '<div class="footer">{}</div>').format(f"&copy; {word()}.example &middot; {prose(2, 20)} {link(1) if chance(0.5) else ''}"), 0))
         pages.append(page)
     return pages
 
 
-def labelled_table(n: int = 150, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def labelled_table(n: int = 250, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the blocks of the labelled pages; a mark in the text carries the label through the parser."""
     x, y = [], []
     for page in labelled_pages(n, seed):

@@ -50,7 +50,7 @@ class Model:
     rate: float = 1.0
     constant: float = 1.0
     slope: float = 0.0
-    base: float = -50.0
+    base: float = -1000.0
 
 
 def segments(scores: np.ndarray, places: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
