@@ -14,23 +14,27 @@ repeated or null ids are packed as often as they occur. Other columns of the inp
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from abacorn.llm.common import arrow_schema, batch, documents, slices, word_codes
 
 CAPACITY, SEPARATOR, TOKENIZER = 2048, 1, "word_bpe_49k.json"
+#: Bytes of text that a task tokenises at once, so that each distinct word is split once.
+CHARS = 6_000_000
 #: Token ids that a task holds before it packs what it has.
 TOKENS_AT_ONCE = 4_000_000
-#: Words whose ids a task remembers.
-WORDS_KEPT = 200_000
-WORD = re.compile(r"[^ \t-\r]+")
+#: Parts of words whose ids a Python worker remembers, from task to task, and those that are encoded in one text.
+WORDS_KEPT, PARTS_AT_ONCE = 500_000, 4000
+KNOWN: dict[str | None, dict[str, bytes]] = {}
+#: The tokenizer's own rule for parts of lower-case text, and the end of the letters for which it holds as it stands here.
+PARTS, LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), "\u0250"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -45,26 +49,71 @@ def _tokenizer(path: str | None):
     return Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
 
 
+def _split(word: str) -> list[str]:
+    """The parts of a word that the tokenizer encodes apart: Latin words as its own rule splits them, any other word as one part."""
+    if (word.isascii() or max(word) < LATIN and "\u0130" not in word) and "<|" not in word:
+        return [word.lower()] if word.isalpha() else PARTS.findall(word.lower())
+    return [word]
+
+
+def _gather(table: np.ndarray, lengths: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of table (of lengths, end to end) that picked names, end to end, and the length of each."""
+    starts, each = np.cumsum(lengths) - lengths, lengths[picked]
+    return table[np.repeat(starts[picked] - (np.cumsum(each) - each), each) + np.arange(each.sum())], each
+
+
+def _encode(parts: list[str], path: str | None) -> list[bytes]:
+    """Ids, as little-endian 32-bit numbers, of each part. Latin parts are joined: each ends with a token that ends a word."""
+    tokenizer, ends = _tokenizer(path), _word_ends(path)
+    plain = [i for i, p in enumerate(parts) if (p.isascii() or max(p) < LATIN) and "<|" not in p]
+    other = sorted(set(range(len(parts))).difference(plain))
+    out: list = [None] * len(parts)
+    for low in range(0, len(plain), PARTS_AT_ONCE):
+        some = plain[low : low + PARTS_AT_ONCE]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+        raw, after = ids.tobytes(), 4 * (np.flatnonzero(ends[ids]) + 1)
+        if len(after) != len(some):
+            other += some
+            continue
+        before = 0
+        for i, end in zip(some, after.tolist()):
+            out[i] = raw[before:end]
+            before = end
+    for i, encoded in zip(other, tokenizer.encode_batch_fast([parts[i] for i in other], add_special_tokens=False)):
+        out[i] = np.array(encoded.ids, dtype="<u4").tobytes()
+    return out
+
+
+@functools.lru_cache(maxsize=4)
+def _word_ends(path: str | None) -> np.ndarray:
+    vocabulary = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    for token, i in vocabulary.items():
+        out[i] = token.endswith("</w>")
+    return out
+
+
 def token_ids(texts: list, path: str | None, known: dict) -> list[np.ndarray]:
-    """Ids of each text and the separator. The tokenizer never joins across ASCII white space, so each distinct word is encoded once."""
+    """Ids of each text and the separator. The tokenizer never joins across ASCII white space, so each distinct part is encoded once."""
     words, counts = [], np.zeros(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         if text:
-            found = WORD.findall(text)
+            found = text.encode().split()
             counts[i] = len(found)
             words += found
     codes, distinct = word_codes(words)
-    new = [w for w in distinct if w not in known]
-    for word, encoded in zip(new, _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-        known[word] = np.array(encoded.ids, dtype="<u4")
-    parts = [known[w] for w in distinct]
+    split = [_split(word.decode()) for word in distinct]
+    part_codes, different = word_codes([p for parts in split for p in parts])
+    new = [w for w in different if w not in known]
+    known.update(zip(new, _encode(new, path)))
+    held = [known[w] for w in different]
     if len(known) > WORDS_KEPT:
         known.clear()
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
-    table = np.concatenate([*parts, np.zeros(0, "<u4")])
-    starts = np.cumsum(lengths) - lengths
-    each = lengths[codes]
-    flat = table[np.repeat(starts[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())] if len(codes) else table[:0]
+    table = np.frombuffer(b"".join(held), dtype="<u4")
+    ids, each = _gather(table, np.fromiter(map(len, held), np.int64, len(held)) // 4, part_codes)
+    ends = np.concatenate([[0], np.cumsum(each)])
+    edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
+    flat, each = _gather(ids, np.diff(ends[edges]), codes)
     ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
     begins = np.concatenate([[0], ends[:-1]])
     tail = np.array([SEPARATOR], dtype="<u4")
@@ -164,8 +213,8 @@ class Packer:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
-    packer, known, held = Packer(TaskContext.get().partitionId() << 33), {}, 0
-    for part in slices(batches):
+    packer, known, held = Packer(TaskContext.get().partitionId() << 33), KNOWN.setdefault(path, {}), 0
+    for part in slices(batches, chars=CHARS):
         for doc_id, ids in zip(part.column("doc_id").to_pylist(), token_ids(part.column("text").to_pylist(), path, known)):
             packer.add(doc_id, ids)
             held += len(ids)
