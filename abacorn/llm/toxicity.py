@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Learning: every labelled document outside the held-out third is counted token by token on the cluster; log-odds of toxic against clean
+Learning: every labelled document outside the held-out third is counted token by token on the cluster, with a limit a document; log-odds of toxic against clean
 with an informative Dirichlet prior (the pooled counts) give each word and each stem (the first STEM letters of a longer word) a z-score,
-and those with z above a threshold keep their log-odds. A token scores its word's log-odds or else its stem's; all others score
+and those with z above a threshold keep their log-odds less a
+standard deviation. A token scores its word's log-odds or else its stem's; all others score
 the drift, a small negative. Scoring: the linear scan over cumulative sums finds every maximal-scoring segment of the
 whole text (disjoint passages, each with the property that every prefix and suffix of it scores positive). Scores of segments become
 E-values by extreme-value statistics: lambda solves sum p exp(lambda s) = 1 over clean token frequencies p, and a text of n tokens
@@ -31,11 +32,12 @@ from abacorn.llm.common import arrow_schema, batch, broadcast_if_small, document
 #: A run of letters and marks; the same on both sides, Java's and Python's.
 TOKEN = re.compile(r"[^\W\d_]+")
 JAVA_TOKEN = r"(?U)[\w&&[^\d_]]+"
-#: z-score from which a token's log-odds count; most tokens that may count, by z; documents in which one must occur.
-LEAST_Z, MOST_TOKENS, LEAST_DOCS = 4.0, 20_000, 3
+#: z-score from which a token's log-odds count; most tokens that may count, by z; toxic documents in which one must occur;
+#: occurrences of a token that a document may count.
+LEAST_Z, MOST_TOKENS, LEAST_DOCS, PER_DOC = 4.0, 20_000, 3, 4
 STEM, MARK = 5, "-"
-#: Weight of the prior, as a part of all tokens; score of a token that doesn't count; highest score of one token.
-PRIOR, DRIFT, TOP = 0.1, -0.02, 6.0
+#: Weight of the prior, as a part of all counts; score of a token that doesn't count; least and highest score of one that does.
+PRIOR, DRIFT, LEAST, TOP = 0.05, -0.02, 2.0, 6.0
 SIGNIFICANT = 0.05
 #: Documents on which the logistic curve is fitted.
 CURVE_DOCS = 20_000
@@ -130,23 +132,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     marked = labels.where("toxic is not null and doc_id is not null").where(~held_out())
     marked = materialise(marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")), "labels")
     known = docs.join(broadcast_if_small(marked), "doc_id").where("text is not null")
-    tokens = known.select("toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(JAVA_TOKEN), F.lit(0))).alias("token"), F.xxhash64("text").alias("node"))
-    each = tokens.groupBy("toxic", "token").agg(F.count("*").alias("n"), F.approx_count_distinct("node", 0.1).alias("docs"))
-    sums = lambda rows: rows.groupBy("token").agg(*(F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0)).alias(f"{c}{t}") for c in ("n", "docs") for t in (0, 1)))
-    words = materialise(sums(each), "words")
-    total = words.agg(F.sum("n0"), F.sum("n1")).first()
+    words = F.regexp_extract_all(F.lower("text"), F.lit(JAVA_TOKEN), F.lit(0))
+    stems = F.transform(F.filter("words", lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit(MARK), F.substring(w, 1, STEM)))
+    tokens = known.select("doc_id", "toxic", words.alias("words")).select("doc_id", "toxic", F.explode(F.concat("words", stems)).alias("token"))
+    each = tokens.groupBy("token", "toxic").agg(F.count("*").alias("all"), F.approx_count_distinct("doc_id", 0.1).alias("docs"))
+    # PER_DOC times a document at most, on average, so that no long document speaks for many
+    each = each.withColumn("n", F.least("all", F.col("docs") * PER_DOC))
+    sides = materialise(each.groupBy("token").agg(*(F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(f"n{t}") for t in (0, 1)), F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("docs1")), "tokens")
+    total = sides.agg(F.sum("n0"), F.sum("n1")).first()
     clean, toxic = float(total[0] or 0), float(total[1] or 0)
     if not clean or not toxic:
         return Model()
-    longer = words.where(F.length("token") > STEM).withColumn("token", F.concat(F.lit(MARK), F.substring("token", 1, STEM)))
-    sides = words.union(longer.groupBy("token").agg(*(F.sum(c).alias(c) for c in words.columns[1:])))
     size = PRIOR * (clean + toxic)
     prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1"))
     odds = lambda n, all_: F.log((F.col(n) + prior) / (F.lit(all_ + size) - F.col(n) - prior))
     delta = odds("n1", toxic) - odds("n0", clean)
-    z = delta / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    rated = sides.withColumn("delta", delta).withColumn("z", z)
-    picked = rated.where((F.col("z") >= LEAST_Z) & (F.col("docs0") + F.col("docs1") >= LEAST_DOCS)).orderBy(F.desc("z"), "token").limit(MOST_TOKENS)
+    spread = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
+    rated = sides.withColumn("z", delta / spread).withColumn("delta", delta - spread)  # a standard deviation on the safe side
+    picked = rated.where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST) & (F.col("docs1") >= LEAST_DOCS)).orderBy(F.desc("z"), "token").limit(MOST_TOKENS)
     rows = picked.select("token", "delta", "n0").collect()
     if not rows:
         return Model()
