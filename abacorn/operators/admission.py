@@ -106,3 +106,24 @@ def admit_to_sinks(submitted: DataFrame, opening: Column, order: Column) -> Data
     step = lambda a, x: F.struct(F.when(fits(a, x), a["left"] - x["amount"]).otherwise(a["left"]).alias("left"), F.when(fits(a, x), F.concat(a["ids"], F.array(x["id"]))).otherwise(a["ids"]).alias("ids"))
     grouped = submitted.groupBy("debit_account_id").agg(F.max(opening).alias("opening"), rows.alias("rows"))
     return grouped.select("debit_account_id", F.aggregate("rows", start, lambda a, x: step(a, x)).alias("r")).select("debit_account_id", F.col("r.left").alias("left"), F.col("r.ids").alias("accepted"))
+
+
+def dry_run(submitted: DataFrame, state: DataFrame) -> DataFrame:
+    """submitted with the error_code that each row would get alone against the current state; nothing is kept, so no order matters.
+
+    state: accounts with balance and available, null where an invariant breaks. Posts and voids are not judged.
+    """
+    judged = static_error(submitted, state)
+    funds = state.select(F.col("account_id").alias("debit_account_id"), "balance", "available")
+    own = F.when(has(F.col("flags"), S.PENDING), F.col("available")).otherwise(F.col("balance"))
+    rich = F.when(own.isNull(), "InvariantViolation").when(own < F.col("amount"), "InsufficientFunds")
+    settles = has(F.col("flags"), S.POST) | has(F.col("flags"), S.VOID)
+    out = judged.join(funds, "debit_account_id", "left").withColumn("error_code", F.coalesce("error_code", F.when(~settles, rich)))
+    return out.select(*submitted.columns, "error_code")
+
+
+def batch_clock(batches: DataFrame) -> DataFrame:
+    """batches (batch_id, now_ns) with clock_ns = max(now, last clock + 1): the highest of now less its place so far, plus the place. A row for each batch."""
+    order = W.orderBy("batch_id")
+    placed = batches.withColumn("place", F.row_number().over(order))
+    return placed.withColumn("clock_ns", F.max(F.col("now_ns") - F.col("place")).over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("place")).drop("place")

@@ -498,3 +498,46 @@ def sm08_term_fence(spark: SparkSession, d: str) -> DataFrame:
 
     e = X.table(spark, d, "events").select("event_id", (F.col("user_id") % 7).alias("term"), F.col("event_type").alias("stream"), F.col("event_id").alias("arrival"))
     return fence(e).select("event_id", "term")
+
+
+@query(
+    f"""{LEGS}, sub AS (SELECT transfer_id, debit_account_id, amount, CAST(transfer_id % 2 AS BIGINT) AS flags FROM f_transfers)
+SELECT transfer_id, CASE WHEN amount = 0 THEN 'ZeroAmount' WHEN a.flags & 1 <> 0 THEN 'AccountFrozen' WHEN a.flags & 2 <> 0 THEN 'AccountClosed'
+  WHEN sub.flags = 1 AND available IS NULL OR sub.flags = 0 AND balance IS NULL THEN 'InvariantViolation' WHEN CASE WHEN sub.flags = 1 THEN available ELSE balance END < amount THEN 'InsufficientFunds' END AS error_code
+FROM sub JOIN full_state a ON a.account_id = debit_account_id"""
+)
+def q11_dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """Q-11: what every submitted transfer would get alone against the current state."""
+    t = X.transfers(spark, d).select("transfer_id", "debit_account_id", "credit_account_id", "amount", "ledger", (F.col("transfer_id") % 2).alias("flags"))
+    return admission.dry_run(t, _state(spark, d)).select("transfer_id", "error_code")
+
+
+@query(
+    ", b AS (SELECT event_id // 100 AS batch_id, max(value) AS v FROM events GROUP BY 1), n AS (SELECT batch_id, CAST(floor(v) AS BIGINT) AS now_ns, row_number() OVER (ORDER BY batch_id) AS r FROM b) "
+    "SELECT batch_id, max(now_ns - r) OVER (ORDER BY batch_id) + r AS clock_ns FROM n"
+)
+def fn27_batch_clock(spark: SparkSession, d: str) -> DataFrame:
+    """FN-27, ST-24: the clock of each batch never stands still."""
+    e = X.table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 100).alias("batch_id")).agg(F.floor(F.max("value")).alias("now_ns"))
+    return admission.batch_clock(e).select("batch_id", "clock_ns")
+
+
+@query(
+    ", t AS (SELECT transfer_id // 20 AS batch_id, CAST(transfer_id % 20 AS INTEGER) AS idx, transfer_id, amount FROM f_transfers), bad AS (SELECT batch_id, bool_and(transfer_id % 97 <> 0) AS ok FROM t GROUP BY 1) "
+    "SELECT batch_id, ok, lpad(to_hex(transfer_id), 32, '0') AS id_hex, CASE WHEN transfer_id % 97 <> 0 THEN amount END AS amount, upper(sha256('k' || CAST(transfer_id AS VARCHAR))) AS key_hex FROM t JOIN bad USING (batch_id)"
+)
+def src16_json_requests(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-16: batches of JSON items decoded by schema; an item without a valid amount rejects its batch."""
+    from abacorn.sources import requests
+
+    key, digits = F.col("transfer_id"), lambda c: F.lpad(F.hex(F.col(c)), 32, "0")
+    item = F.struct(digits("transfer_id").alias("id"), digits("debit_account_id").alias("debit_account_id"), F.concat(F.lit("0x"), digits("credit_account_id")).alias("credit_account_id"), F.when(key % 97 == 0, "-5").otherwise(F.col("amount").cast("string")).alias("amount"), F.concat(F.lit("k"), key.cast("string")).alias("idempotency_key"))
+    sent = X.transfers(spark, d).groupBy(F.floor(key / 20).alias("batch_id")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("body"))
+    out = requests.batches(sent)
+    return out.select("batch_id", "ok", F.hex("item.transfer_id").alias("id_hex"), F.col("item.amount").cast("long").alias("amount"), F.hex("item.idempotency_key").alias("key_hex"))
+
+
+@query("SELECT account_id, ledger FROM f_accounts WHERE ledger = 1")
+def src14_mirror(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-14, SRC-18, Q-05: accounts of one tenant from the relational mirror's schema; the filter is pushed to the scan."""
+    return X.accounts(spark, d).where("ledger = 1").select("account_id", "ledger")
