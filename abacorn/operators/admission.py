@@ -74,11 +74,18 @@ def _accounts(frame: pd.DataFrame) -> dict:
 def run_batches(ledger: Ledger, frame: pd.DataFrame) -> Iterator[tuple]:
     """Outcome rows of the batches of one ledger, in the order of batch and position; frame: columns of the submitted rows and now_ns."""
     frame = frame.sort_values(["batch_id", "idx"], kind="stable")
-    for _, rows in frame.groupby("batch_id", sort=True):
-        items = [{k: (v if k.endswith("_id") else int(v)) for k, v in r.items() if k not in ("currency",)} for r in rows.to_dict("records")]
+    names = [c for c in frame.columns if c != "currency"]
+    rows = [dict(zip(names, values)) for values in zip(*(frame[c].tolist() for c in names))]
+    start = 0
+    while start < len(rows):
+        end, batch = start, rows[start]["batch_id"]
+        while end < len(rows) and rows[end]["batch_id"] == batch:
+            end += 1
+        items = rows[start:end]
         for item, error in zip(items, admit(ledger, items, max(r["now_ns"] for r in items))):
             code, subject = error or (None, None)
-            yield item["batch_id"], item["idx"], item["transfer_id"], item["ledger"], error is None, code, None if subject is None else str(subject)
+            yield batch, item["idx"], item["transfer_id"], item["ledger"], error is None, code, None if subject is None else str(subject)
+        start = end
 
 
 def admit_batches(submitted: DataFrame, accounts: DataFrame) -> DataFrame:
