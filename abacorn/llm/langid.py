@@ -11,12 +11,12 @@ every text is. Rows are predicted one by one, repeated rows alike; other columns
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.s
 SAMPLE, SAMPLE_CHARS, MOST_LANGUAGES = 400, 50_000, 200
 CELLS = 1 << 12
 GRAMS = 3
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double"
 
