@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: Rows up to which a frame of a few fixed-width columns may be broadcast; beyond it every operator shuffles instead.
 BROADCAST_ROWS = 1_000_000
 
-#: Code points a Python worker works on at once.
-CHARS_AT_ONCE = 2_000_000
+#: Bytes of text a Python worker works on at once, and rows of an Arrow batch.
+CHARS_AT_ONCE, ROWS_AT_ONCE = 2_000_000, 2000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,6 +70,25 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = C
         edges = (np.flatnonzero(np.diff(part)) + 1).tolist()
         for low, high in zip([0, *edges], [*edges, batch.num_rows]):
             yield batch.slice(low, high - low)
+    _give_back()
+
+
+def _give_back() -> None:
+    """At a task's end, return what its worker's allocators hold: workers live on, beside the next task's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most ROWS_AT_ONCE rows: texts are long, and a batch is held as a whole on both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS_AT_ONCE:
+        conf.set(key, ROWS_AT_ONCE)
+    return df
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -93,12 +112,12 @@ def keep_rows(docs: DataFrame, keep: Callable[[list], list]) -> DataFrame:
         for part in slices(batches):
             yield part.filter(pa.array(keep(part.column("text").to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no other column can clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from abacorn.llm.common import arrow_schema, batch, documents, slices
+from abacorn.llm.common import arrow_schema, batch, documents, slices, small_batches
 
 ERROR_RATE, LEAST_CHARS = 0.1, 8
 #: Characters of items in one automaton.
@@ -194,5 +194,5 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
             for part in slices(batches):
                 yield part.filter(pa.array([not block.find(normalise(t)) for t in part.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

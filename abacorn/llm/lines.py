@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abacorn.llm.common import BROADCAST_ROWS, broadcast_if_small, materialise, slices
+from abacorn.llm.common import BROADCAST_ROWS, broadcast_if_small, materialise, slices, small_batches
 
 SITES, LEAST_WORDS = 5, 5
 #: Relative standard error of a sketch; estimates within NEAR of SITES are counted exactly (over three standard errors).
@@ -92,7 +92,7 @@ def _in_place(docs: DataFrame, found: DataFrame, counter: str) -> DataFrame:
             columns[at] = pa.array([t for t, _ in both], part.schema.field("text").type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in both], pa.int32())], names=[*names, counter])
 
-    return docs.mapInArrow(run, docs.withColumn(counter, F.lit(0).cast("int")).schema)
+    return small_batches(docs).mapInArrow(run, docs.withColumn(counter, F.lit(0).cast("int")).schema)
 
 
 def _by_shuffle(docs: DataFrame, found: DataFrame, counter: str) -> DataFrame:

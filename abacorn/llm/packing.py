@@ -31,7 +31,7 @@ CHARS = 6_000_000
 #: Token ids that a task holds before it packs what it has.
 TOKENS_AT_ONCE = 4_000_000
 #: Parts of words whose ids a Python worker remembers, from task to task, and those that are encoded in one text.
-WORDS_KEPT, PARTS_AT_ONCE = 500_000, 4000
+WORDS_KEPT, PARTS_AT_ONCE = 250_000, 4000
 KNOWN: dict[str | None, dict[str, bytes]] = {}
 #: The tokenizer's own rule for parts of lower-case text, and the end of the letters for which it holds as it stands here.
 PARTS, LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), "\u0250"

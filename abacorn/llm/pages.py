@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abacorn.llm.common import arrow_schema, batch, slices
+from abacorn.llm.common import arrow_schema, batch, slices, small_batches
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long"
 #: Elements whose content is no text; elements that begin a block; elements that the features name; words of a class or id.
@@ -267,5 +267,5 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """A row for each row of pages (page_id, url, html): page_id, url, text, n_chars, n_blocks."""
-    narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    narrow = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return narrow.mapInArrow(_run, SCHEMA)
