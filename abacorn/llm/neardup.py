@@ -194,7 +194,7 @@ def _exact(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between different texts that pass the exact check: enough of them to join all texts that a near pair in a bucket joins.
+    """Joins (a, b) of different texts: enough of them to join all texts that a near pair in a bucket joins, each by the exact check or through its part's root.
 
     In a round every bucket of a band elects one member, the smallest under a mask of the bucket's and the round's own, and every other
     member that isn't joined with it yet is checked against it exactly: rows grow with the members, not their square. Buckets whose
@@ -213,10 +213,12 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         mask = F.xxhash64("band", F.lit(turn))
         chosen = rooted.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("least")).select("band", F.col("least").bitwiseXOR(mask).alias("node"))
         chosen = chosen.join(rooted, ["band", "node"]).select("band", F.col("node").alias("leader"), F.col("root").alias("leading"))
-        pairs = rooted.join(chosen, "band").where("root != leading").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+        # one try for each part that a member meets; what that misses is left to the next rounds and the blocks
+        pairs = rooted.join(chosen, "band").where("root != leading").groupBy(F.col("node").alias("a"), "leading").agg(F.min("leader").alias("b")).select("a", "b")
         good = _exact(materialise(pairs, "pairs"), units)
-        links = materialise(good if links is None else links.union(good), "links")
-        rooted = _unsettled(rooted.drop("root"), components(links))
+        joined = components(good if links is None else links.union(good))
+        links = joined.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))  # a row for each node, not for each link
+        rooted = _unsettled(rooted.drop("root"), joined)
         if rooted.isEmpty():
             return links
     rows = rooted.join(units.select("node", "packed", F.size("units").alias("size")), "node")
