@@ -1,8 +1,8 @@
 """Line dedup by distinct-site spread.
 
 Every line of LEAST_WORDS words or more is hashed. A HyperLogLog sketch of the sites (sources) that show it is kept for each line hash and
-merges by aggregation, before the shuffle and after it. Lines whose estimate is far from SITES are settled by it; those near it get
-an exact distinct count of their sites. Lines of SITES sites or more are boilerplate: they stay at their first place (in the document of the
+merges by aggregation, before the shuffle and after it. Lines whose estimate is far above SITES are settled by it; all others that are
+seen SITES times get an exact distinct count of their sites: a sketch has few registers, so sites that share them can hide a line. Lines of SITES sites or more are boilerplate: they stay at their first place (in the document of the
 smallest doc_id, the first of equals there) and are removed everywhere else.
 
 The sketches' sizes are fixed and merge per task, so a line that every document holds costs a task one row. The set of boilerplate lines is
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from abacorn.llm.common import BROADCAST_ROWS, broadcast_if_small, materialise, slices, small_batches
 
 SITES, LEAST_WORDS = 5, 5
-#: Relative standard error of a sketch; estimates within NEAR of SITES are counted exactly (over three standard errors).
+#: Relative standard error of a sketch; estimates up to NEAR above SITES are counted exactly (over three standard errors).
 ERROR, NEAR = 0.1, 0.35
 ENDS = " \t\r"
 
@@ -42,7 +42,7 @@ def boilerplate(docs: DataFrame) -> DataFrame:
     lines = line_sites(docs)
     # a line on as many sites is on as many lines: the rest needs no second look
     rated = lines.groupBy("hash").agg(F.approx_count_distinct("site", ERROR).alias("sites"), F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    rated = materialise(rated.where((F.col("n") >= SITES) & (F.col("sites") >= SITES * (1 - NEAR))), "rated")
+    rated = materialise(rated.where(F.col("n") >= SITES), "rated")
     near = F.col("sites") <= SITES * (1 + NEAR)
     asked = rated.where(near).select("hash")
     exact = lines.join(broadcast_if_small(asked), "hash", "left_semi").groupBy("hash").agg(F.count_distinct("site").alias("exact"))

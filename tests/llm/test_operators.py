@@ -319,6 +319,15 @@ def test_lines_brute_force(spark, docs):
     assert {r["doc_id"]: r["text"] for r in beyond.collect()} == want
 
 
+def test_lines_whose_sites_share_registers(spark):
+    """Three of these sites fill one register of a sketch, whose estimate is 3; four sites stay four."""
+    sites = {"a line that five sites show": (0, 9, 17, 1, 2), "a line that four sites show": (0, 9, 17, 1, 1)}
+    rows = [(10 * k + i, line, f"src{site}") for k, (line, on) in enumerate(sites.items()) for i, site in enumerate(on)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(table).collect()}
+    assert got == {i: "" if 0 < i < 10 else line for i, line, _ in rows}
+
+
 def test_line_edges(awkward, empty):
     got = lines.dedup_lines(awkward).collect()
     assert len(got) == 10 and [r["text"] for r in got if r["doc_id"] == 1] == [None] and {r["n_lines_removed"] for r in got} == {0}
