@@ -348,6 +348,23 @@ def test_language_edges(awkward, empty):
     assert langid.fit(["abc def"], ["xx"]) and langid.predict("abc", langid.fit(["abc def"], ["xx"])) == ("xx", 1.0)
 
 
+def test_language_pairs_of_a_family():
+    """Five languages of one family on a line, three of them close: a machine for each pair, and every language sure."""
+    def text(share, n):
+        return "aaaa " * round(share * n) + "zzzz " * (n - round(share * n))
+
+    line = {"en": 0.9, "de": 0.54, "nl": 0.5, "da": 0.46, "sv": 0.1}
+    texts, langs = zip(*((text(share, 200 + 10 * i), c) for c, share in line.items() for i in range(20)))
+    machines = langid.fit(list(texts), list(langs))
+    assert len(machines.columns["germanic"]) == 10
+    pair = [i for i, c in enumerate(langs) if c in ("da", "de")]
+    alone = langid.fit_machine(np.stack([langid.shares(texts[i]) for i in pair]), np.array([1.0 if langs[i] == "da" else -1.0 for i in pair], np.float32))
+    assert np.allclose(machines.table[:, machines.columns["germanic"][0]], alone[:-1])
+    for c, share in line.items():
+        found, score = langid.predict(text(share, 317), machines)
+        assert found == c and score > 0.9
+
+
 # 9 near-duplicates
 
 
