@@ -3,7 +3,8 @@
 A page is cut at block-level tags into flat blocks of text. Each block has its word count and link density and those of its
 neighbours, what its place in the markup says (inside navigation, header, footer, aside or form; inside article or main; a class or id that
 names boilerplate or content; heading) and what its page has of content elements and blocks. A decision tree trained on a small labelled table, pages that rules build here from a fixed seed,
-keeps the blocks of the article. Scripts, styles, comments and the head never become blocks.
+keeps the blocks of the article. Scripts, styles, comments and the head never become blocks. Of an svg its text elements are read; math is
+text but for its annotations.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by two
 newlines. Defined cases: null and empty html give an empty text with 0 characters; html without tags is one block; unclosed tags, comments and
@@ -27,7 +28,7 @@ from abacorn.llm.common import arrow_schema, batch, slices, small_batches
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long"
 #: Elements whose content is no text; elements that begin a block; elements that the features name; words of a class or id.
-HIDDEN = "script style noscript template svg iframe object canvas math audio video head"
+HIDDEN = "script style noscript template svg iframe object canvas annotation-xml annotation audio video head"
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "input legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
@@ -40,7 +41,9 @@ BAD_WORDS = set(
     "subscription signup login search copyright legal pagination pager tags tagcloud meta byline skip".split()
 )
 GOOD_WORDS = set("article content post entry story body text main prose".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|math|audio|video|head)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:svg|annotation-xml|annotation)\b(?:[^>"']|"[^"]*"|'[^']*')*/>|<(script|style|noscript|template|svg|iframe|object|canvas|annotation-xml|annotation|audio|video|head)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
+SVG_TEXT = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|title|desc|metadata)\b(?:[^>"']|"[^"]*"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<(text|foreignObject)\b(?:[^>"']|"[^"]*"|'[^']*')*(?:(?<=/)>|>(.*?)(?:</\2\s*>|\Z))""", re.S | re.I)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|title|desc)\b.*?(?:</\1\s*>|\Z)|<[^>]*>""", re.S | re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Depth and smallest leaf of the tree.
@@ -91,6 +94,10 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = m[3]
         if name is None:
+            if m[1] and m[1].lower() == "svg":
+                for shown in SVG_TEXT.finditer(m[0]):
+                    if shown[3]:
+                        add(" " + TAG.sub("" if shown[2].lower() == "text" else " ", shown[3]) + " ")
             continue
         name = name.lower()
         if name == "a":

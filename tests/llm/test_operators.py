@@ -245,6 +245,17 @@ def test_page_edges(spark):
     assert "buy now" not in pages.extract_all([side])[0][0] and "reader says" not in pages.extract_all([side])[0][0] and "body words" in pages.extract_all([side])[0][0]
 
 
+def test_page_icons_and_formulas():
+    """An empty icon takes nothing with it, formulas and an svg's text elements are read, drawings and annotations are not."""
+    read = lambda html: [b.text for b in pages.blocks(html)]
+    assert read("<article><p>before <svg class='i' viewBox=\"0 0 1 1\"/> after</p><p>next</p></article>") == ["before after", "next"]
+    assert read("<p>a <svg/> b <svg><path d='M0 0'/></svg> c</p><p>d <math/> e</p>") == ["a b c", "d e"]
+    formula = "<math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>x=2</annotation></semantics></math>"
+    assert read(f"<p>so {formula} holds</p>") == ["so x=2 holds"]
+    assert read("<p>see <svg><title>chart</title><style>.a{}</style><g><path d=''/><text x='1'>peak <tspan>of May</tspan></text></g><text/></svg> here</p>") == ["see peak of May here"]
+    assert read("<p>one <script src='a'/>hidden</script> two</p>") == ["one two"]
+
+
 # 6 toxicity
 
 
