@@ -7,7 +7,7 @@ cosine, then template name). A licence file is one with a licence file's name or
 A file without a licence of its own inherits that of the licence file in the nearest directory above it, found by joining the paths of the
 distinct directories and their ancestors with the directories of licence files.
 
-No passage is dropped that could pass: one of cosine LEAST must share with its template a term of the prefix, the template's terms
+Of passages of at most PASSAGE_WORDS words (paragraphs: and PASSAGE_CHARS characters; longer ones are not scored) none is dropped that could pass: one of cosine LEAST must share with its template a term of the prefix, the template's terms
 by falling weight without the tail whose norm is below LEAST; only such passages are scored. The templates are a fixed small table.
 
 Defined cases: null, empty and blank texts have no licence of their own but may inherit; a null path inherits nothing. Among licence files of
