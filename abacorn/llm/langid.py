@@ -37,8 +37,8 @@ FAMILIES = {
     "baltic": "lt lv",
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-#: Texts of each language that the fit sees, the longest that may be among them, and languages that can be learned.
-SAMPLE, SAMPLE_CHARS, MOST_LANGUAGES = 400, 50_000, 200
+#: Texts of each language that the fit sees, the longest that may be among them, and languages beyond which they share what so many would see.
+SAMPLE, SAMPLE_CHARS, FULL_LANGUAGES = 400, 50_000, 200
 CELLS = 1 << 12
 GRAMS = 3
 LETTER = regex.compile(r"\p{L}")
@@ -168,16 +168,16 @@ def _vote(value: np.ndarray, machines: Machines, stage: str, labels: list[str])
 
 
 def learn(docs: DataFrame) -> Machines | None:
-    """Fit on docs (doc_id, text, lang): at most SAMPLE texts on average for each of MOST_LANGUAGES languages reach the driver."""
+    """Fit on docs (doc_id, text, lang): at most SAMPLE texts on average for each language reach the driver, fewer beyond FULL_LANGUAGES."""
     known = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out()).where(F.length("text") <= SAMPLE_CHARS)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return None
-    share = F.lit(0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], int(min(1.0, SAMPLE / row["count"]) * 1_000_000)).otherwise(share)
+    each = max(1, min(SAMPLE, SAMPLE * FULL_LANGUAGES // len(counts)))
+    shares_ = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, each / r["count"]) * 1_000_000))))
+    share = F.coalesce(F.element_at(shares_, F.col("lang")), F.lit(0))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_000)) < share)
-    rows = drawn.select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * SAMPLE * len(counts)).collect()
+    rows = drawn.select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * each * len(counts)).collect()
     rows = [r for r in rows if LETTER.search(r["text"])]
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 

@@ -32,9 +32,9 @@ from abacorn.llm.common import arrow_schema, batch, broadcast_if_small, document
 #: A run of letters and marks; the same on both sides, Java's and Python's.
 TOKEN = re.compile(r"[^\W\d_]+")
 JAVA_TOKEN = r"(?U)[\w&&[^\d_]]+"
-#: z-score from which a token's log-odds count; most tokens that may count, by z; toxic documents in which one must occur;
+#: z-score from which a token's log-odds count; toxic documents in which one must occur;
 #: occurrences of a token that a document may count.
-LEAST_Z, MOST_TOKENS, LEAST_DOCS, PER_DOC = 4.0, 20_000, 3, 4
+LEAST_Z, LEAST_DOCS, PER_DOC = 4.0, 3, 4
 STEM, MARK = 5, "-"
 #: Weight of the prior, as a part of all counts; score of a token that doesn't count; least and highest score of one that does.
 PRIOR, DRIFT, LEAST, TOP = 0.05, -0.02, 2.0, 6.0
@@ -128,7 +128,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the labelled documents outside the held-out third; what reaches the driver is bounded by MOST_TOKENS and CURVE_DOCS."""
+    """Fit on the labelled documents outside the held-out third; the tokens that pass LEAST_Z, LEAST and LEAST_DOCS and 2 * CURVE_DOCS evidence values reach the driver."""
     marked = labels.where("toxic is not null and doc_id is not null").where(~held_out())
     marked = materialise(marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")), "labels")
     known = docs.join(broadcast_if_small(marked), "doc_id").where("text is not null")
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     delta = odds("n1", toxic) - odds("n0", clean)
     spread = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
     rated = sides.withColumn("z", delta / spread).withColumn("delta", delta - spread)  # a standard deviation on the safe side
-    picked = rated.where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST) & (F.col("docs1") >= LEAST_DOCS)).orderBy(F.desc("z"), "token").limit(MOST_TOKENS)
+    picked = rated.where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST) & (F.col("docs1") >= LEAST_DOCS)).orderBy(F.desc("z"), "token")
     rows = picked.select("token", "delta", "n0").collect()
     if not rows:
         return Model()

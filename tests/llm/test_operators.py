@@ -295,6 +295,17 @@ def test_toxicity_learns(spark):
     assert all(abs(again[i] - got[i]["score"]) < 1e-9 for i in got)
 
 
+def test_toxicity_lexicon_is_whole(spark):
+    """More than 20,000 words that only toxic documents hold, all learned."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26**k % 26] for k in range(4))
+    text = lambda first: " ".join(word(i) for i in range(first, first + 20_100) for _ in range(4))
+    sides = [text(0), text(100_000)]
+    table = spark.createDataFrame([(i, i % 2) for i in range(48)], "doc_id long, toxic int")
+    texts = table.select("doc_id", F.when(F.col("toxic") == 1, sides[1]).otherwise(sides[0]).alias("text"))
+    assert len(toxicity.learn(texts, table).scores) == 20_100
+
+
 def test_toxicity_edges(awkward, empty, labels):
     rows = toxicity.toxicity(awkward, labels).collect()
     assert len(rows) == 10 and all(r["score"] is not None for r in rows)
@@ -359,6 +370,12 @@ def test_language_edges(awkward, empty):
     assert langid.fit(["abc def"], ["xx"]) and langid.predict("abc", langid.fit(["abc def"], ["xx"])) == ("xx", 1.0)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: set(langs))
+    table = spark.range(230 * 20).selectExpr("id AS doc_id", "'some words' AS text", "concat('x', id % 230) AS lang")
+    assert len(langid.learn(table)) == 230
+
+
 def test_language_pairs_of_a_family():
     """Five languages of one family on a line, three of them close: a machine for each pair, and every language sure."""
     def text(share, n):
