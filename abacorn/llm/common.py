@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: Rows up to which a frame of a few fixed-width columns may be broadcast; beyond it every operator shuffles instead.
 BROADCAST_ROWS = 1_000_000
 
-#: Bytes of text a Python worker works on at once, and rows of an Arrow batch.
-CHARS_AT_ONCE, ROWS_AT_ONCE = 2_000_000, 2000
+#: Bytes of text a Python worker works on at once. Spark itself bounds an Arrow batch by rows and, at 64 MB unless it is told otherwise, by bytes.
+CHARS_AT_ONCE = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -83,14 +83,6 @@ def _give_back() -> None:
         trim(0)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have at most ROWS_AT_ONCE rows: texts are long, and a batch is held as a whole on both sides."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= ROWS_AT_ONCE:
-        conf.set(key, ROWS_AT_ONCE)
-    return df
-
-
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A batch of columns, lists or arrays, in the order of schema."""
     return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -112,12 +104,12 @@ def keep_rows(docs: DataFrame, keep: Callable[[list], list]) -> DataFrame:
         for part in slices(batches):
             yield part.filter(pa.array(keep(part.column("text").to_pylist()), pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no other column can clash."""
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

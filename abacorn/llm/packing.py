@@ -14,27 +14,29 @@ repeated or null ids are packed as often as they occur. Other columns of the inp
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from abacorn.llm.common import arrow_schema, batch, documents, slices, word_codes
+from abacorn.llm.common import arrow_schema, batch, documents, slices
 
 CAPACITY, SEPARATOR, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Bytes of text that a task tokenises at once, so that each distinct word is split once.
 CHARS = 6_000_000
 #: Token ids that a task holds before it packs what it has.
 TOKENS_AT_ONCE = 4_000_000
-#: Parts of words whose ids a Python worker remembers, from task to task, and those that are encoded in one text.
-WORDS_KEPT, PARTS_AT_ONCE = 250_000, 4000
-KNOWN: dict[str | None, dict[str, bytes]] = {}
-#: The tokenizer's own rule for parts of lower-case text, and the end of the letters for which it holds as it stands here.
-PARTS, LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), "\u0250"
+#: Parts of words whose ids a Python worker remembers in each of two generations, and those that are encoded in one text.
+PARTS_KEPT, PARTS_AT_ONCE = 500_000, 4000
+#: The tokenizer's own rule for parts of lower-case text, the end of the letters for which it holds as it stands here, and words for which it doesn't.
+PARTS, LATIN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\x0b\x{85}\x{a0}\p{L}\p{N}]+", "\u0250"
+OWN_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+OTHER = r"[^\x{0}-\x{24f}]|\x{130}|<\|"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -49,11 +51,19 @@ def _tokenizer(path: str | None):
     return Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
 
 
-def _split(word: str) -> list[str]:
-    """The parts of a word that the tokenizer encodes apart: Latin words as its own rule splits them, any other word as one part."""
-    if (word.isascii() or max(word) < LATIN and "\u0130" not in word) and "<|" not in word:
-        return [word.lower()] if word.isalpha() else PARTS.findall(word.lower())
-    return [word]
+@functools.lru_cache(maxsize=4)
+def _part_tokenizer(path: str | None):
+    """The tokenizer without the steps that PARTS and lower case have done already; None if its own steps are others than these."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = _tokenizer(path)
+    steps = [json.loads(x.__getstate__()) if x is not None else {} for x in (whole.normalizer, whole.pre_tokenizer)]
+    kinds = [[(n["type"], n.get("pattern")) for n in x.get("normalizers", x.get("pretokenizers", []))] for x in steps]
+    if kinds != [[("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)], [("Split", {"Regex": OWN_PARTS}), ("ByteLevel", None)]]:
+        return None
+    out = Tokenizer(whole.model)
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
 
 
 def _gather(table: np.ndarray, lengths: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,13 +74,13 @@ def _gather(table: np.ndarray, lengths: np.ndarray, picked: np.ndarray) -> tuple
 
 def _encode(parts: list[str], path: str | None) -> list[bytes]:
     """Ids, as little-endian 32-bit numbers, of each part. Latin parts are joined: each ends with a token that ends a word."""
-    tokenizer, ends = _tokenizer(path), _word_ends(path)
+    tokenizer, light, ends = _tokenizer(path), _part_tokenizer(path), _word_ends(path)
     plain = [i for i, p in enumerate(parts) if (p.isascii() or max(p) < LATIN) and "<|" not in p]
     other = sorted(set(range(len(parts))).difference(plain))
     out: list = [None] * len(parts)
     for low in range(0, len(plain), PARTS_AT_ONCE):
         some = plain[low : low + PARTS_AT_ONCE]
-        ids = np.array(tokenizer.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(light.encode_batch_fast([" ".join([parts[i] for i in some])], add_special_tokens=False)[0].ids, dtype="<u4")
         raw, after = ids.tobytes(), 4 * (np.flatnonzero(ends[ids]) + 1)
         if len(after) != len(some):
             other += some
@@ -93,31 +103,52 @@ def _word_ends(path: str | None) -> np.ndarray:
     return out
 
 
-def token_ids(texts: list, path: str | None, known: dict) -> list[np.ndarray]:
-    """Ids of each text and the separator. The tokenizer never joins across ASCII white space, so each distinct part is encoded once."""
-    words, counts = [], np.zeros(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            found = text.encode().split()
-            counts[i] = len(found)
-            words += found
-    codes, distinct = word_codes(words)
-    split = [_split(word.decode()) for word in distinct]
-    part_codes, different = word_codes([p for parts in split for p in parts])
-    new = [w for w in different if w not in known]
-    known.update(zip(new, _encode(new, path)))
-    held = [known[w] for w in different]
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    table = np.frombuffer(b"".join(held), dtype="<u4")
-    ids, each = _gather(table, np.fromiter(map(len, held), np.int64, len(held)) // 4, part_codes)
-    ends = np.concatenate([[0], np.cumsum(each)])
-    edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])
-    flat, each = _gather(ids, np.diff(ends[edges]), codes)
-    ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum(counts)]
-    begins = np.concatenate([[0], ends[:-1]])
+class Known:
+    """Ids, as little-endian 32-bit numbers, that a Python worker remembers from task to task, by part and in two generations: what was not asked
+    for while a generation filled up is forgotten."""
+
+    def __init__(self, path: str | None, kept: int = PARTS_KEPT) -> None:
+        self.path, self.kept, self.young, self.old = path, kept, {}, {}
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        out = list(map(self.young.get, parts))
+        new = [i for i, held in enumerate(out) if held is None]
+        found = list(map(self.old.get, map(parts.__getitem__, new)))
+        unknown = [i for i, held in zip(new, found) if held is None]
+        for i, held in zip(new, found):
+            out[i] = held
+        for i, held in zip(unknown, _encode([parts[i] for i in unknown], self.path)):
+            out[i] = held
+        self.young.update((parts[i], out[i]) for i in new)
+        if len(self.young) > self.kept:
+            self.young, self.old = {}, self.young
+        return out
+
+
+def _split(words: pa.Array) -> pa.ListArray:
+    """The parts of words that the tokenizer encodes apart: Latin words as its own rule splits them, any other word as one part."""
+    latin = pc.replace_substring_regex(pc.replace_substring_regex(pc.utf8_lower(words), "[\\x{85}\\x{a0}]", " "), PARTS, "\\0 ")
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.if_else(pc.match_substring_regex(words, OTHER), words, latin)))
+
+
+def token_ids(texts: pa.Array, known: Known) -> list[np.ndarray]:
+    """Ids of each text and the separator. Where the tokenizer splits words as PARTS does, each distinct part is encoded once; any other
+    tokenizer encodes whole texts."""
     tail = np.array([SEPARATOR], dtype="<u4")
-    return [np.concatenate([flat[a:b], tail]) for a, b in zip(begins, ends)]
+    if _part_tokenizer(known.path) is None:
+        whole = _tokenizer(known.path).encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)
+        return [np.concatenate([np.array(x.ids, dtype="<u4"), tail]) for x in whole]
+    found = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = found.flatten().dictionary_encode()
+    split = _split(words.dictionary)
+    parts = split.flatten().dictionary_encode()
+    held = known.ids(parts.dictionary.to_pylist())
+    table = np.frombuffer(b"".join(held), dtype="<u4")
+    ids, each = _gather(table, np.fromiter(map(len, held), np.int64, len(held)) // 4, parts.indices.to_numpy(zero_copy_only=False))
+    ends = np.concatenate([[0], np.cumsum(each)])[split.offsets.to_numpy(zero_copy_only=False)]
+    flat, each = _gather(ids, np.diff(ends), words.indices.to_numpy(zero_copy_only=False))
+    ends = np.concatenate([[0], np.cumsum(each)])[found.offsets.to_numpy(zero_copy_only=False)]
+    return [np.concatenate([flat[a:b], tail]) for a, b in zip(ends[:-1], ends[1:])]
 
 
 def least_slack(counts: dict[int, int], lengths: list[int], target: int) -> tuple[int, dict[int, int]]:
@@ -212,10 +243,15 @@ class Packer:
             lengths = [n for n in lengths if counts[n]]
 
 
+@functools.lru_cache(maxsize=4)
+def _known(path: str | None) -> Known:
+    return Known(path)
+
+
 def _pack(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
-    packer, known, held = Packer(TaskContext.get().partitionId() << 33), KNOWN.setdefault(path, {}), 0
+    packer, known, held = Packer(TaskContext.get().partitionId() << 33), _known(path), 0
     for part in slices(batches, chars=CHARS):
-        for doc_id, ids in zip(part.column("doc_id").to_pylist(), token_ids(part.column("text").to_pylist(), path, known)):
+        for doc_id, ids in zip(part.column("doc_id").to_pylist(), token_ids(part.column("text"), known)):
             packer.add(doc_id, ids)
             held += len(ids)
         if held >= TOKENS_AT_ONCE:

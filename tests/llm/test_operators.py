@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,7 +173,7 @@ def test_packing_round_trip(docs):
 def test_tokens_of_odd_texts():
     odd = ["a<|endoftext|>b  <|startoftext|>", "Ünï̈cod\xa0é x\x1cy 123 don't ΣΑΣ", "̈abc ́x", "DON'T He'S **'s ''ll İstanbul*** x²³¼ 1²3 ªº µm ſ's ß'd __a_b_ 漢字x　y <|b", None, "", " \n "]
     tokenizer = packing._tokenizer(None)
-    for text, ids in zip(odd, packing.token_ids(odd, None, {})):
+    for text, ids in zip(odd, packing.token_ids(pa.array(odd), packing.Known(None, kept=3))):
         assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
