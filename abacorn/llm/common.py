@@ -1,8 +1,9 @@
-"""Shared pieces: materialising a result, bounded broadcasts and batch slicing."""
+"""Shared pieces: materialising a result, bounded broadcasts, salted joins and batch slicing."""
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,32 +15,55 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a frame of a few fixed-width columns may be broadcast; beyond it every operator shuffles instead.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a frame of fixed-width columns, at 16 a value, up to which it may be broadcast; beyond it every operator shuffles instead.
+BROADCAST_BYTES = 32 << 20
+#: A join key is hot with over HOT_ROWS rows and over 1 / HOT_KEYS of all, so that there are fewer than HOT_KEYS of them; each is dealt to SALTS tasks.
+HOT_ROWS, HOT_KEYS, SALTS = 1000, 2000, 64
 
 #: Bytes of text a Python worker works on at once. Spark itself bounds an Arrow batch by rows and, at 64 MB unless it is told otherwise, by bytes.
 CHARS_AT_ONCE = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse's; a temporary one only if all run in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="abacorn-")
+        folder = _own_folder(spark.sparkContext.master, spark.conf.get("spark.sql.warehouse.dir"))
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _own_folder(master: str, warehouse: str) -> str:
+    """A folder for a session without spark.checkpoint.dir. On a cluster a file: warehouse may be each machine's own, so it is refused."""
+    if re.fullmatch(r"local(\[.*\])?", master):
+        return "file://" + tempfile.mkdtemp(prefix="abacorn-")
+    if warehouse.startswith("file:") or ":/" not in warehouse:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse.rstrip("/") + "/_abacorn"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it again: lineage ends there, and a lost executor loses nothing of it."""
+    """Write df to the shared folder as Parquet and read it again: lineage ends there, and a lost executor loses nothing of it.
+
+    release() deletes it; what isn't released goes when the process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/abacorn-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what materialise() wrote for frames that nothing reads any more."""
+    for df in frames:
+        if df is not None and hasattr(df, "_written"):
+            _remove(df.sparkSession, df._written)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -50,9 +74,29 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A materialised frame of fixed-width columns: hinted for broadcast if its counted rows are few enough, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_small(df: DataFrame, bytes_: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialised frame of fixed-width columns: hinted for broadcast if its counted rows make few enough bytes, else as it is."""
+    return F.broadcast(df) if df.count() * 16 * len(df.columns) <= bytes_ else df
+
+
+def hot_keys(df: DataFrame, key: str) -> list:
+    """The hot values of a key of a materialised frame: fewer than HOT_KEYS, whatever its size."""
+    bound = max(HOT_ROWS, df.count() // HOT_KEYS)
+    return [r[0] for r in df.groupBy(key).count().where((F.col("count") > bound) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: list | None = None) -> DataFrame:
+    """left.join(right, keys, how) for a materialised left of which few values of the first key may hold most rows, and a right of few rows for each key.
+
+    Rows of hot values are dealt by a hash of the whole row, and right's rows for those values are sent to each of their SALTS tasks.
+    """
+    hot = hot_keys(left, keys[0]) if hot is None else hot
+    if not hot:
+        return left.join(right, keys, how)
+    mine = F.col(keys[0]).isin(hot)
+    salted = left.withColumn("_salt", F.when(mine, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).otherwise(0))
+    spread = right.withColumn("_salt", F.explode(F.when(mine, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
 def held_out(column: str = "doc_id"):

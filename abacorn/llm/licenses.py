@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abacorn.llm.common import BROADCAST_ROWS, materialise
+from abacorn.llm.common import BROADCAST_BYTES, broadcast_if_small, materialise
 
 #: Licence headers and the openings of licence files, by SPDX-like name.
 TEMPLATES = [
@@ -44,6 +44,8 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 LEAST = 0.7
+#: Limit for a broadcast of rows of three paths, each counted as 16 bytes and taken to be up to 160 long.
+TEXT_BYTES = BROADCAST_BYTES // 10
 #: Words and characters of the longest passage that is compared; a licence file's names.
 PASSAGE_WORDS, PASSAGE_CHARS = 400, 4000
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense|copyright)([._-][^/]*)?$"
@@ -153,8 +155,7 @@ def scan(files: DataFrame) -> DataFrame:
     above = asks.select("_dir", F.explode(F.transform(ups, lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("up")))).alias("a")).select("_dir", "a.depth", "a.up")
     nearest = above.join(homes.withColumnRenamed("_dir", "up"), "up").groupBy("_dir").agg(F.max(F.struct("depth", "_home")).alias("_found"))
     nearest = materialise(nearest.select("_dir", "_found._home"), "nearest")
-    nearest = F.broadcast(nearest) if nearest.count() <= BROADCAST_ROWS // 10 else nearest
-    out = own.join(nearest, "_dir", "left")
+    out = own.join(broadcast_if_small(nearest, TEXT_BYTES), "_dir", "left")
     has = F.col("licence").isNotNull()
     origin = F.when(has, "own").when(F.col("_home").isNotNull(), "inherited").otherwise("none")
     keep = [c for c in files.columns if c != "text"]

@@ -6,7 +6,7 @@ seen SITES times get an exact distinct count of their sites: a sketch has few re
 smallest doc_id, the first of equals there) and are removed everywhere else.
 
 The sketches' sizes are fixed and merge per task, so a line that every document holds costs a task one row. The set of boilerplate lines is
-counted; up to BROADCAST_ROWS of them are sent to all tasks and texts stay where they are, and beyond it line places are joined by
+counted; up to BROADCAST_BYTES of them, at ENTRY_BYTES each, are sent to all tasks and texts stay where they are, and beyond it line places are joined by
 shuffle. Defined cases: null texts stay null and empty ones empty; blank lines and lines of fewer words always stay; a null source is no
 site; where doc_id is null no line counts as the first. Repeated rows are cleaned alike. Lines are compared without
 spaces, tabs and carriage returns at their ends.
@@ -21,11 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abacorn.llm.common import BROADCAST_ROWS, broadcast_if_small, materialise, slices
+from abacorn.llm.common import BROADCAST_BYTES, broadcast_if_small, materialise, slices
 
 SITES, LEAST_WORDS = 5, 5
 #: Relative standard error of a sketch; estimates up to NEAR above SITES are counted exactly (over three standard errors).
 ERROR, NEAR = 0.1, 0.35
+#: Bytes of a line hash and its first place in a Python dictionary.
+ENTRY_BYTES = 160
 ENDS = " \t\r"
 
 
@@ -76,7 +78,7 @@ def dedup_lines(docs: DataFrame, counter: str = "n_lines_removed") -> DataFrame:
     docs = docs.drop(counter)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
     found = boilerplate(narrow)
-    out = _in_place(docs, found, counter) if found.count() <= BROADCAST_ROWS else _by_shuffle(docs, found, counter)
+    out = _in_place(docs, found, counter) if found.count() * ENTRY_BYTES <= BROADCAST_BYTES else _by_shuffle(docs, found, counter)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -2,10 +2,13 @@
 
 Two texts are near-duplicates if the weighted Jaccard similarity of their word 5-grams (weight: occurrences) is 0.8 or more.
 
+Equal texts, by 128 bits of hashes, are one node, and nodes have numbers of their own. Keys with many rows (a band of a large group, a text of many
+copies, the root of a large class) are salted wherever rows are joined by them.
+
 Defined cases: a text without a word (null, empty, white space, punctuation) belongs to no group, so it is a class of its own and
 its class id is its own doc_id. A text of one to four words has one shingle of all its words. Rows with equal text are one node
-whatever their doc_id; the class id is the smallest non-null doc_id of the class, null if there is none. Every row of the input gives
-one row of the result, repeated rows included. Other columns of the input are not read.
+whatever their doc_id, and rows of one doc_id with different texts are as many nodes; the class id is the smallest non-null doc_id of the class,
+null if there is none. Every row of the input gives one row of the result, repeated rows included. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abacorn.llm.common import arrow_schema, batch, broadcast_if_small, documents, materialise, mix64, slices, text_hashes, word_codes
+from abacorn.llm.common import arrow_schema, batch, broadcast_if_small, documents, hot_keys, join_salted, materialise, mix64, release, slices, text_hashes, word_codes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 16 bands of 4 coordinates: a pair of similarity 0.8 misses all of them with probability 0.0002.
@@ -134,7 +137,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
-SIGNED, UNITS = "doc_id long, node long, bands array<long>", "node long, units array<long>, packed binary"
+SIGNED, UNITS = "doc_id long, h1 long, h2 long, bands array<long>", "node long, units array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +150,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = [None] * part.num_rows
         for j, i in enumerate(some):
             bands[i] = keys[j]
-        yield batch(arrow_schema(SIGNED), part.column("doc_id"), part.column("node"), bands)
+        yield batch(arrow_schema(SIGNED), part.column("doc_id"), part.column("h1"), part.column("h2"), bands)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,26 +162,40 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layer = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
         units, who = mix64(value[at] ^ mix64(layer.astype(np.uint64))).astype(np.int64), owner[at]
         edges = np.searchsorted(who, np.arange(part.num_rows + 1))
-        packed = [units[a:b].astype("<i4").tobytes() for a, b in zip(edges[:-1], edges[1:])]
-        yield batch(arrow_schema(UNITS), part.column("node"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(units)), packed)
+        yield batch(arrow_schema(UNITS), part.column("node"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(units)))
 
 
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between the parts of one pair of blocks: enough to join all parts that a near pair joins, one row for each join."""
-    frame = frame.drop_duplicates(["node", "block"]).reset_index(drop=True)
+    """Links between the parts of one pair of blocks: enough to join all parts that a near pair joins, one row for each join.
+
+    Units are ranked by how few members hold them. Near members share one of the first fifth of their units (and one more), so postings of those
+    alone name the pairs to look at; each is checked on all units before it joins anything, and members of one part need no look.
+    """
+    frame = frame.drop_duplicates("node").reset_index(drop=True)
     node = frame["node"].to_numpy()
     _, part = np.unique(frame["root"].to_numpy(), return_inverse=True)
-    sizes = np.array([len(x) // 4 for x in frame["packed"]])
-    _, flat = np.unique(np.frombuffer(b"".join(frame["packed"]), dtype="<i4"), return_inverse=True)
+    sizes = np.array([len(x) for x in frame["units"]])
+    _, flat, holders = np.unique(np.concatenate(frame["units"].to_list()), return_inverse=True, return_counts=True)
+    rank = np.empty(len(holders), dtype=np.int64)
+    rank[np.argsort(holders, kind="stable")] = np.arange(len(holders))
+    flat, owner = rank[flat], np.repeat(np.arange(len(sizes)), sizes)
+    flat = flat[np.lexsort((flat, owner))]
     starts = np.cumsum(sizes) - sizes
-    mark, a, b = np.zeros(flat.max() + 1, dtype=np.int64), [], []
-    for i in np.flatnonzero(part != np.bincount(part).argmax()):  # pairs within the largest part need no look
-        mark[flat[starts[i] : starts[i] + sizes[i]]] = 1
-        both = np.add.reduceat(mark[flat], starts)
-        mark[flat[starts[i] : starts[i] + sizes[i]]] = 0
-        near = (both >= SIMILARITY * (sizes + sizes[i] - both) - 1e-9) & (part != part[i])
-        for j in np.flatnonzero(near):
-            if part[j] != part[i]:
+    prefix = (sizes * (1 - SIMILARITY) + 1e-9).astype(np.int64) + 1
+    first = np.arange(len(flat)) - np.repeat(starts, sizes) < np.repeat(prefix, sizes)
+    held, who = flat[first], owner[first]
+    order = np.argsort(held, kind="stable")
+    held, who = held[order], who[order]
+    a, b = [], []
+    for i in range(len(node)):
+        mine = flat[starts[i] : starts[i] + sizes[i]]
+        low, high = np.searchsorted(held, mine[: prefix[i]], "left"), np.searchsorted(held, mine[: prefix[i]], "right")
+        near = np.unique(np.concatenate([who[x:y] for x, y in zip(low, high)]))
+        for j in near[near < i]:
+            if part[j] == part[i] or min(sizes[i], sizes[j]) < SIMILARITY * max(sizes[i], sizes[j]) - 1e-9:
+                continue
+            both = len(np.intersect1d(mine, flat[starts[j] : starts[j] + sizes[j]], assume_unique=True))
+            if both >= SIMILARITY * (sizes[i] + sizes[j] - both) - 1e-9:
                 a.append(node[i])
                 b.append(node[j])
                 part[part == part[j]] = part[i]
@@ -186,14 +203,14 @@ def _compare(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _exact(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """The pairs (a, b) of weighted Jaccard similarity SIMILARITY or more."""
+    """The pairs (a, b) of weighted Jaccard similarity SIMILARITY or more; pairs is materialised, and an elected b may be in many of them."""
     side = lambda c: units.select(F.col("node").alias(c), F.col("units").alias(f"u{c}"))
     both = F.size(F.array_intersect("ua", "ub"))
     near = both >= SIMILARITY * (F.size("ua") + F.size("ub") - both) - 1e-9
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b")
+    return join_salted(pairs, side("b"), ["b"]).join(side("a"), "a").where(near).select("a", "b")
 
 
-def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """Joins (a, b) of different texts: enough of them to join all texts that a near pair in a bucket joins, each by the exact check or through its part's root.
 
     In a round every bucket of a band elects one member, the smallest under a mask of the bucket's and the round's own, and every other
@@ -201,77 +218,128 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     members are all joined are done. What is left after the last round is compared in pairs of blocks, again exactly, and a block
     returns a row for each join that it makes, at most one less than it has members.
     """
-    rows = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band"))
-    several = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    rows = materialise(rows.join(several, "band"), "bands")
-    involved = broadcast_if_small(materialise(rows.select("node").distinct().join(nodes.select("node", F.col("rep").alias("_rep")), "node"), "involved"))
-    texts = docs.join(involved, "node").where(F.col("doc_id").eqNullSafe(F.col("_rep")))
-    units = materialise(texts.select("node", "text").mapInArrow(_units, UNITS).dropDuplicates(["node"]), "units")
-    rooted = rows.withColumn("root", F.col("node"))
-    links = None
+    members = materialise(nodes.select("node", F.explode("bands").alias("band")), "members")
+    several = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    rows = materialise(join_salted(members, several, ["band"]), "bands")
+    wanted = materialise(rows.select("node").distinct().join(nodes.select("node", "h1", "h2", "rep"), "node"), "wanted")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"w.{c}")) if c == "rep" else F.col(f"d.{c}") == F.col(f"w.{c}") for c in ("h1", "h2", "rep")]
+    texts = docs.withColumnRenamed("doc_id", "rep").alias("d").join(broadcast_if_small(wanted).alias("w"), same).select("w.node", "d.text")
+    units = texts.mapInArrow(_units, UNITS)
+    units = materialise(units.dropDuplicates(["node"]) if repeated else units, "units")
+    release(members, wanted)
+    rooted, joined, links = rows.withColumn("root", F.col("node")), None, None
     for turn in range(STARS):
         mask = F.xxhash64("band", F.lit(turn))
         chosen = rooted.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("least")).select("band", F.col("least").bitwiseXOR(mask).alias("node"))
         chosen = chosen.join(rooted, ["band", "node"]).select("band", F.col("node").alias("leader"), F.col("root").alias("leading"))
         # one try for each part that a member meets; what that misses is left to the next rounds and the blocks
-        pairs = rooted.join(chosen, "band").where("root != leading").groupBy(F.col("node").alias("a"), "leading").agg(F.min("leader").alias("b")).select("a", "b")
-        good = _exact(materialise(pairs, "pairs"), units)
-        joined = components(good if links is None else links.union(good))
+        met = join_salted(rows, chosen, ["band"], hot=hot_keys(rows, "band")) if turn == 0 else join_salted(rooted, chosen, ["band"])
+        met = met.withColumn("root", F.col("node")) if turn == 0 else met
+        pairs = met.where("root != leading").groupBy(F.col("node").alias("a"), "leading").agg(F.min("leader").alias("b")).select("a", "b")
+        pairs = materialise(pairs, "pairs")
+        good = materialise(_exact(pairs, units), "good")
+        before, joined = joined, components(good if links is None else links.union(good))
         links = joined.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))  # a row for each node, not for each link
-        rooted = _unsettled(rooted.drop("root"), joined)
+        left = _unsettled(rows if turn == 0 else rooted.drop("root"), joined)
+        release(pairs, good, before, rows if turn == 0 else rooted)
+        rooted = left
         if rooted.isEmpty():
+            release(units, rooted)
             return links
-    rows = rooted.join(units.select("node", "packed", F.size("units").alias("size")), "node")
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    totals = rooted.join(units.select("node", F.size("units").alias("size")), "node").groupBy("band").agg(F.sum("size").alias("total")).select("band", blocks.alias("blocks"))
-    rows = rows.join(totals, "band").withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
+    sized = units.select("node", F.size("units").cast("long").alias("size"))
+    sized = materialise(rooted.join(sized, "node"), "sized")
+    totals = sized.groupBy("band").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    rows = join_salted(sized, totals, ["band"]).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "packed")
-    found = materialise(rows.groupBy("band", "low", "high").applyInPandas(_compare, "a long, b long").distinct(), "found")
-    return links.union(_exact(found, units))
+    rows = rows.select("node", "root", F.xxhash64("band").alias("bucket"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(units, "node")
+    found = materialise(rows.groupBy("bucket", "low", "high").applyInPandas(_compare, "a long, b long").distinct(), "found")
+    release(sized, rooted, units)
+    return links.union(found)
 
 
 def _unsettled(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(node, band, root) of the buckets that still hold several parts."""
-    rooted = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rows.join(found, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root")), "rooted")
     bands = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    return materialise(rooted.join(bands, "band").select("node", "band", "root"), "unsettled")
+    out = materialise(join_salted(rooted, bands, ["band"]).select("node", "band", "root"), "unsettled")
+    release(rooted)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of a link: labels fall to the smallest neighbour's and jump to their label's label."""
     edges = materialise(links.union(links.select("b", "a")).where("a != b").distinct(), "edges")
+    hubs = hot_keys(edges, "b")
     labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).select("node", F.least("node", "root").alias("root")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
-        fallen = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "least").alias("root"))
-        jumped = fallen.alias("x").join(labels.select(F.col("node").alias("root"), F.col("root").alias("beyond")), "root", "left")
-        labels_next = materialise(jumped.select("node", "was", F.least("root", F.coalesce("beyond", "root")).alias("root")), "labels")
-        labels = labels_next.select("node", "root")
-        if labels_next.where("was != root").isEmpty():
-            return labels
+        near = join_salted(edges, labels.withColumnRenamed("node", "b"), ["b"], hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
+        fallen = materialise(labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "least").alias("root")), "fallen")
+        jumped = join_salted(fallen, labels.select(F.col("node").alias("root"), F.col("root").alias("beyond")), ["root"], "left")
+        following = materialise(jumped.select("node", "was", F.least("root", F.coalesce("beyond", "root")).alias("root")), "labels")
+        release(labels, fallen)
+        labels = following
+        if following.where("was != root").isEmpty():
+            release(edges)
+            return labels.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, class_id, is_kept (whether doc_id is its class's id)."""
-    docs = documents(docs).withColumn("node", F.xxhash64("text"))
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs with h1 and h2, 128 bits that stand for the text."""
+    return docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, text, h1, h2): signed, a row each; classes, (h1, h2, node, rep, root, class_id) of every text with a word; repeated, the
+    (h1, h2, doc_id) that several rows have. All are materialised."""
     signed = materialise(docs.mapInArrow(_sign, SIGNED), "signed")
     worded = signed.where(F.col("bands").isNotNull())
-    reps = worded.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    one = worded.join(reps, "node").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
-    nodes = materialise(one.select("node", "rep", "copies", "bands"), "nodes")
-    found = components(_links(nodes, docs))
-    rooted = nodes.select("node", "rep").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("node", "class_id")
+    texts = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    # the place in the task above the task's number, so that a mask picks members evenly
+    place, task = F.shiftleft(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 32) - 1)), 31), F.spark_partition_id().cast("long")
+    nodes = materialise(texts.withColumn("node", place.bitwiseOR(task)), "nodes")
+    repeated = materialise(worded.groupBy("h1", "h2", "doc_id").count().where("count > 1").select("h1", "h2", "doc_id"), "repeated")
+    links = _links(nodes, docs, not repeated.isEmpty())
+    rooted = nodes.select("node", "h1", "h2", "rep").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted, "rooted")
+    least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
+    classes = materialise(join_salted(rooted, least, ["root"]), "classes")
+    release(nodes, rooted)
+    return signed, classes, repeated
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, class_id, is_kept (whether doc_id is its class's id)."""
+    signed, classes, _ = _classes(_hashed(documents(docs)))
     alone = F.col("bands").isNull()
-    out = signed.join(classes, "node", "left").select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    out = join_salted(signed, classes.select("h1", "h2", "class_id"), ["h1", "h2"], "left")
+    out = out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
     return out.withColumn("is_kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The columns of docs, with one document of each class; rows without a doc_id stay, and repeated rows of one doc_id are one."""
-    kept = materialise(near_duplicates(docs).where("is_kept").select("doc_id"), "kept")
-    repeated = not kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    ids = kept.where("doc_id is not null").distinct().withColumnRenamed("doc_id", "__abacorn_kept_id")
-    out = docs.join(broadcast_if_small(materialise(ids, "ids")), F.col("doc_id") == F.col("__abacorn_kept_id"), "left_semi")
-    return (out.dropDuplicates(["doc_id"]) if repeated else out).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The columns of docs, with one row of each class and every row without a word.
+
+    A class keeps a row of its smallest non-null doc_id (of none, if it has none); where that id has several texts of the class, or several rows
+    of the text, one of them.
+    """
+    narrow = _hashed(documents(docs))
+    signed, classes, repeated = _classes(narrow)
+    chosen = classes.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("node").alias("node"))
+    kept = classes.join(chosen, ["root", "node"]).select("h1", "h2", "rep", F.lit(True).alias("worded"))
+    alone = signed.where(F.col("bands").isNull()).select("h1", "h2").distinct().select("h1", "h2", F.lit(None).cast("long").alias("rep"), F.lit(False).alias("worded"))
+    kept = materialise(kept.union(alone), "kept")
+    release(signed, classes)
+    h1, h2, key = "__abacorn_h1", "__abacorn_h2", "__abacorn_id"
+    text = F.col("text").cast("string")
+    rows = docs.withColumns({h1: F.xxhash64(text), h2: F.xxhash64(F.lit(1), text), key: F.col("doc_id").cast("long")})
+
+    def matching(right: DataFrame, whole: bool) -> Column:
+        same = F.col(key).eqNullSafe(right["rep" if whole else "doc_id"])
+        return (F.col(h1) == right["h1"]) & (F.col(h2) == right["h2"]) & ((same | ~right["worded"]) if whole else same)
+
+    small = broadcast_if_small(kept)
+    out = rows.join(small, matching(small, True), "left_semi")
+    if not repeated.isEmpty():
+        again = broadcast_if_small(repeated)
+        out = out.join(again, matching(again, False), "left_anti").unionByName(out.join(again, matching(again, False), "left_semi").dropDuplicates([h1, h2]))
+    return out.select(*docs.columns)
