@@ -6,12 +6,13 @@ with Myers' bit-parallel distance of the item to the best substring there. Texts
 as one space. The budget is a tenth of an item's characters, rounded down.
 
 Items come in blocks of bounded size, each a broadcast automaton and a pass over its own, so the benchmark may grow. Documents are never
-shuffled. Defined cases: null texts and texts without a word match nothing, and neither do items of fewer than eight characters. Items of
-equal text match alike. Each row of docs gives a row for each item that it holds (the best match, the earliest of equals), repeated rows too.
+shuffled. Defined cases: null texts and texts without a word match nothing, and neither do items without a word. Items of fewer than SHORT characters
+have no budget and must stand as they are between characters that are no letters or digits. Items of equal text match alike. Each row of docs gives a row for each item that it holds (the best match, the earliest of equals), repeated rows too.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from abacorn.llm.common import arrow_schema, batch, documents, slices
 
-ERROR_RATE, LEAST_CHARS = 0.1, 8
-#: Characters of items in one automaton.
-BLOCK_CHARS = 1_000_000
+ERROR_RATE, SHORT = 0.1, 8
+#: Characters of items in one automaton, a node of some 60 bytes each at most.
+BLOCK_CHARS = 4_000_000
 #: Length of the grams of the count filter before Myers.
 GRAM = 4
 #: Cells of an item's gram table.
@@ -72,8 +73,20 @@ def myers(masks: dict[str, int], length: int, text: str) -> list[int]:
     return out
 
 
+@functools.lru_cache(maxsize=4096)
+def _tables(pattern: str) -> tuple[dict[str, int], dict[str, int], np.ndarray]:
+    """Positions of each character of an item from its start and from its end, and its gram table."""
+    masks, back = defaultdict(int), defaultdict(int)
+    for j, c in enumerate(pattern):
+        masks[c] |= 1 << j
+        back[c] |= 1 << len(pattern) - 1 - j
+    grams = np.zeros(CELLS, dtype=bool)
+    grams[gram_cells(pattern)] = True
+    return dict(masks), dict(back), grams
+
+
 class Items:
-    """The automaton of a block of items, and their masks and grams."""
+    """The automaton of a block of items."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         import ahocorasick
@@ -82,20 +95,12 @@ class Items:
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in rows:
             text = normalise(text)
-            if len(text) < LEAST_CHARS:
+            if not text:
                 continue
             budget = int(len(text) * ERROR_RATE)
-            masks: dict[str, int] = defaultdict(int)
-            for j, c in enumerate(text):
-                masks[c] |= 1 << j
-            back: dict[str, int] = defaultdict(int)
-            for j, c in enumerate(reversed(text)):
-                back[c] |= 1 << j
-            grams = np.zeros(CELLS, dtype=bool)
-            grams[gram_cells(text)] = True
             for offset, piece in pieces(text, budget):
                 at[piece].append((len(self.rows), offset + len(piece)))
-            self.rows.append((item_id, text, budget, dict(masks), dict(back), grams))
+            self.rows.append((item_id, text, budget))
         for piece, places in at.items():
             self.automaton.add_word(piece, tuple(places))
         if at:
@@ -117,8 +122,11 @@ class Items:
         return sorted(out)
 
     def _best(self, item: int, starts: list[int], text: str, cells: np.ndarray) -> tuple[int, int, int, int] | None:
-        _, pattern, budget, masks, back, grams = self.rows[item]
+        _, pattern, budget = self.rows[item]
         length = len(pattern)
+        if length < SHORT:
+            alone = (s for s in starts if not text[max(0, s - 1) : s].isalnum() and not text[s + length : s + length + 1].isalnum())
+            return next(((0, 0, s, s + length) for s in alone), None)
         if (at := text.find(pattern)) >= 0:
             return 0, budget, at, at + length
         runs: list[list[int]] = []
@@ -130,7 +138,7 @@ class Items:
                 runs[-1][1] = max(runs[-1][1], high)
             else:
                 runs.append([low, high])
-        best = None
+        best, (masks, back, grams) = None, _tables(pattern)
         # a match keeps all grams of the item but GRAM for each edit, each at a position of its own
         least = length - GRAM + 1 - budget * GRAM
         for low, high in runs:
