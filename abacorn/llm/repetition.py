@@ -1,10 +1,9 @@
 """Quality rules on repetition inside a text, from a suffix array over its words.
 
 A suffix array of every text (prefix doubling, many texts at once, ties alone are sorted again) gives the longest common prefixes of
-neighbouring suffixes. Their intervals are the maximal repeated substrings; the union of the spans of those of five words or more is the
-covered part. A text is kept if it has ten words, at most a fifth of its words are covered and no repeat is longer than LONGEST words or
-LONGEST_PART of the text. A text with a word of over GIANT characters (scripts without spaces, long runs) is also judged on a suffix array of
-its characters, by the same limits.
+neighbouring suffixes. A stack over them enumerates their intervals; those whose occurrences differ in the word before are the maximal repeated
+substrings. The union of the spans of those of five words or more is the covered part. A text is kept if it has ten words, at most a fifth of its words are
+covered and no repeat is longer than LONGEST words or LONGEST_PART of the text. Every text is judged by words alone, whatever their length.
 
 Words are runs of anything but ASCII white space. Defined cases: null and empty texts have no words, so base_failed is true and kept is
 false. Rows are judged one by one, repeated rows alike; other columns of the input are not read.
@@ -23,8 +22,6 @@ from abacorn.llm.common import arrow_schema, batch, documents, slices
 
 LEAST_WORDS, WINDOW, COVERED_PERCENT = 10, 5, 20
 LONGEST, LONGEST_PART = 200, 0.2
-#: Characters of a word from which characters are judged too, and the least repeat of characters.
-GIANT, CHAR_WINDOW = 200, 30
 SPACES, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -32,15 +29,15 @@ SCHEMA = (
 )
 
 
-def repeats(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each position of the texts laid end to end, the length of the longest substring from it that occurs again in its own text.
+def suffixes(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and longest common prefixes of texts laid end to end: suffixes in order, without those that share no four tokens with another of
+    their text, and the tokens that each shares with the next (0 between texts).
 
-    codes: a number for each token; counts: tokens of each text. Lengths under 4 may show as 0.
+    codes: a number for each token; counts: tokens of each text.
     """
-    n = len(codes)
-    longest = np.zeros(n, dtype=np.int64)
+    n, none = len(codes), np.zeros(0, np.int64)
     if n < 2:
-        return longest
+        return none, none
     owner = np.repeat(np.arange(len(counts)), counts)
     end = np.cumsum(counts)[owner]
     key = owner * (int(codes.max()) + 1) + codes
@@ -59,20 +56,56 @@ def repeats(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         levels.append(rank)
         width *= 2
     if tied4 is None or not len(tied4):
-        return longest
-    suffixes = tied4[np.argsort(rank[tied4])]
-    one, two = suffixes[:-1], suffixes[1:]
+        return none, none
+    order = tied4[np.argsort(rank[tied4])]
+    one, two = order[:-1], order[1:]
     common, live = np.zeros(len(one), dtype=np.int64), owner[one] == owner[two]
     for level in range(len(levels) - 1, -1, -1):
         a, b = one + common, two + common
         inside = live & (a < end[one]) & (b < end[two])
         a, b = np.minimum(a, n - 1), np.minimum(b, n - 1)
         common += np.where(inside & (levels[level][a] == levels[level][b]), 1 << level, 0)
-    longest[one] = common
-    longest[two] = np.maximum(longest[two], common)
+    return order, common
+
+
+def repeats(order: np.ndarray, common: np.ndarray, n: int) -> np.ndarray:
+    """For each of n positions the length of the longest repeat from it: the deepest interval that holds its suffix. Lengths under 4 may show as 0."""
+    longest = np.zeros(n, dtype=np.int64)
+    longest[order[:-1]] = common
+    longest[order[1:]] = np.maximum(longest[order[1:]], common)
     return longest
 
 
+def intervals(order: np.ndarray, common: np.ndarray, before: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(length, first, last place in order) of each interval of least common tokens or more that is a maximal repeat.
+
+    before: what stands before each position, a number of its own where a text begins. An interval whose suffixes all have the same before could be
+    extended to the left, so it isn't maximal; to the right it ends where its suffixes differ.
+    """
+    out, stack, mixed = [], [], object()
+    places = np.flatnonzero(common >= least)
+    after = np.flatnonzero(np.diff(places, append=-2) != 1)  # where runs of places end
+    ahead, left_of = common.tolist(), before[order].tolist() if len(order) else []
+    start = 0
+    for stop in after:
+        for i in range(places[start], places[stop] + 2):
+            height = ahead[i] if i <= places[stop] else 0
+            first, left = i, left_of[i]
+            while stack and stack[-1][0] > height:
+                length, first, held = stack.pop()
+                left = held if held == left else mixed
+                if left is mixed:
+                    out.append((length, first, i))
+            if height >= least:
+                if stack and stack[-1][0] == height:
+                    if stack[-1][2] != left:
+                        stack[-1][2] = mixed
+                else:
+                    stack.append([height, first, left])
+        start = stop + 1
+    return out
+
+
 def _regroup(rank: np.ndarray, placed: np.ndarray, first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Ranks of placed positions: where their group begins among all suffixes; and the positions that share a group."""
     new = np.ones(len(placed), dtype=bool)
@@ -96,15 +129,6 @@ def covered(longest: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def maximal(longest: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
-    """True where the span of a maximal repeat begins: it extends neither way (by a token more to the left it would be longer)."""
-    out = longest >= least
-    before = np.zeros(len(longest), dtype=np.int64)
-    before[1:] = longest[:-1]
-    before[starts[starts < len(longest)]] = 0
-    return out & (before != longest + 1)
-
-
 def _per_text(values: np.ndarray, counts: np.ndarray, how) -> np.ndarray:
     out = np.zeros(len(counts), dtype=np.int64)
     some = counts > 0
@@ -114,16 +138,22 @@ def _per_text(values: np.ndarray, counts: np.ndarray, how) -> np.ndarray:
 
 
 def _summary(codes: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    longest = repeats(codes, counts)
-    starts = np.cumsum(counts) - counts
-    cover = _per_text(covered(longest, least).astype(np.int64), counts, np.add)
-    return cover, _per_text(np.where(longest >= least, longest, 0), counts, np.maximum), _per_text(maximal(longest, starts, least).astype(np.int64), counts, np.add)
+    """Of each text: tokens in the span of a repeat, the longest repeat, and the number of maximal repeats, of least tokens or more."""
+    order, common = suffixes(codes, counts)
+    longest = repeats(order, common, len(codes))
+    begins = (np.cumsum(counts) - counts)[counts > 0]
+    before = np.concatenate([[0], codes[:-1]]) if len(codes) else codes
+    before[begins] = -1 - begins
+    found = intervals(order, common, before, least)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    maximal = np.bincount(owner[order[[first for _, first, _ in found]]], minlength=len(counts)) if found else np.zeros(len(counts), np.int64)
+    return _per_text(covered(longest, least).astype(np.int64), counts, np.add), _per_text(np.where(longest >= least, longest, 0), counts, np.maximum), maximal
 
 
 def measure(texts: list) -> dict[str, np.ndarray]:
     n = len(texts)
     words, counts = [], np.zeros(n, dtype=np.int64)
-    chars, symbols, lines, giant = (np.zeros(n, dtype=np.int64) for _ in range(4))
+    chars, symbols, lines = (np.zeros(n, dtype=np.int64) for _ in range(3))
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -134,16 +164,11 @@ def measure(texts: list) -> dict[str, np.ndarray]:
         symbols[i] = sum(map(text.count, SYMBOLS))
         rows = [x for x in text.split("\n") if x.strip(SPACES)]
         lines[i] = len(rows) - len(set(rows))
-        giant[i] = len(found) and len(max(found, key=len)) > GIANT
     codes = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64)
     cover, longest, spans = _summary(codes, counts, WINDOW)
     base = (counts < LEAST_WORDS) | (100 * cover > COVERED_PERCENT * counts)
     part = cover / np.maximum(counts, 1)
     bad = (part > COVERED_PERCENT / 100) | (longest > LONGEST) | (longest > LONGEST_PART * counts)
-    for i in np.flatnonzero((giant > 0) & ~base & ~bad):
-        points = np.frombuffer(texts[i].encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        over, most, _ = _summary(points, np.array([len(points)]), CHAR_WINDOW)
-        bad[i] = over[0] > COVERED_PERCENT / 100 * len(points) or most[0] > LONGEST_PART * len(points)
     return {
         "n_words": counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": cover, "base_failed": base,
         "kept": ~base & ~bad, "longest_repeat": longest, "n_maximal_repeats": spans, "covered_fraction": part,
