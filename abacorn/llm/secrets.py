@@ -1,11 +1,11 @@
 """Secret scans: base patterns, and a character convolutional network in numpy over every other candidate and its surroundings.
 
 Base findings (assign, access, hex) are leftmost non-overlapping matches of fixed patterns in the whole text, and stay whatever the network
-says. Candidates are all runs of CANDIDATE's characters of 16 or more with a digit and a letter, or of 20 or more in mixed case, that overlap no
-base finding. The network reads 24 characters before, the candidate (in pieces of 64, the best counts) and 8 after: embedding, convolution
+says. Candidates are all runs of CANDIDATE's characters, less what base findings cover of them, of 16 or more with a digit and a letter, or of 20 or more
+in mixed case. The network reads 24 characters before, the candidate (in pieces of 64, the best counts) and 8 after: embedding, convolution
 of width 5, rectifier, maximum over the candidate and over the surroundings, logistic output. It is trained on labelled findings, a table
-that rules build here from a fixed seed; a third of it is held back for a logistic calibration and for the threshold, the highest that
-recalls RECALL of the held-back secrets. Candidates at or above it are findings of kind model.
+that rules build here from a fixed seed; of the third that is held back one half serves a logistic calibration and the other the threshold, the highest of
+which a binomial test at level DOUBT says that it recalls RECALL of the secrets, but no higher than even odds. Candidates at or above it are findings of kind model. It is trained once, on the driver.
 
 Offsets are code points, ends exclusive. Defined cases: null and empty texts have no finding. Rows are scanned one by one, repeated rows
 alike; other columns are not read.
@@ -30,10 +30,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "model")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+LEAST, CANDIDATE = 16, re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 BEFORE, PIECE, AFTER = 24, 64, 8
 WIDTH, EMBED, FILTERS, KERNEL = BEFORE + PIECE + AFTER, 8, 24, 5
-RECALL, SEED, EXAMPLES, EPOCHS = 0.98, 7, 3000, 6
+RECALL, DOUBT, SEED, EXAMPLES, EPOCHS = 0.98, 0.1, 7, 6000, 6
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long, model_score double"
 
 
@@ -49,17 +49,28 @@ def base_findings(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of the candidates that overlap no finding."""
-    out = []
+    """(start, end) of the candidates outside the findings, which are sorted by start."""
+    out, at, n, covered = [], 0, len(taken), 0
     for m in CANDIDATE.finditer(text):
-        run, start, end = m[0], m.start(), m.end()
-        letter, digit = any(c.isalpha() for c in run), any(c.isdigit() for c in run)
-        mixed = len(run) >= 20 and sum(a.islower() and b.isupper() for a, b in zip(run, run[1:])) >= 3
-        if letter and (digit or mixed) and all(end <= s or start >= e for s, _, e in taken):
-            out.append((start, end))
+        start, end = m.span()
+        while at < n and taken[at][0] < end:
+            if taken[at][0] > max(start, covered):
+                out += _candidate(text, max(start, covered), taken[at][0])
+            covered = max(covered, taken[at][2])
+            at += 1
+        out += _candidate(text, max(start, covered), end)
     return out
 
 
+def _candidate(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    if end - start < LEAST:
+        return []
+    run = text[start:end]
+    letter, digit = any(c.isalpha() for c in run), any(c.isdigit() for c in run)
+    mixed = len(run) >= 20 and sum(a.islower() and b.isupper() for a, b in zip(run, run[1:])) >= 3
+    return [(start, end)] if letter and (digit or mixed) else []
+
+
 def windows(text: str, start: int, end: int) -> list[np.ndarray]:
     """Codes of each piece of a candidate with what surrounds it: printable ASCII, other characters, nothing."""
     out = []
@@ -68,7 +79,7 @@ def windows(text: str, start: int, end: int) -> list[np.ndarray]:
         before, inside, after = text[max(0, low - BEFORE) : low], text[low:high], text[high : high + AFTER]
         shown = before.rjust(BEFORE, "\0") + inside.ljust(PIECE, "\0") + after.ljust(AFTER, "\0")
         c = np.array([ord(x) for x in shown])
-        out.append(np.where(c == 0, 0, np.where((c >= 32) & (c < 127), c - 30, 1)))
+        out.append(np.where(c == 0, 0, np.where((c >= 32) & (c < 127), c - 30, 1)).astype(np.uint8))
     return out
 
 
@@ -88,6 +99,8 @@ def labelled_findings(n: int, seed: int) -> tuple[list[tuple[str, int, int]], np
         lambda: f"{word()}.{word()}.{number(1, 99)}.example.com", lambda: f"{word()}-{word()}-{number(1900, 2100)}-{word()}.html", lambda: "/".join([word(), word(), number(1, 999), word() + ".txt"]),
         lambda: ".".join(number(10, 255) for _ in range(4)) + "." + word(), lambda: f"{word()}_{word()}_{word()}_{number(1, 999)}", lambda: f"{number(1990, 2040)}-{number(10, 12)}-{number(10, 28)}T{number(10, 23)}.00.00Z",
         lambda: "".join(w.capitalize() for w in (word(), word(), word(), word())) + number(1, 9), lambda: word() + "=" * int(rng.integers(14, 30)) + number(1, 9), lambda: f"v{number(1, 20)}.{number(0, 20)}.{number(0, 20)}-{word()}-{word()}",
+        lambda: "".join(word().capitalize() for _ in range(int(rng.integers(3, 7)))) + number(1, 99), lambda: f"{word()}/{word()}/IMG_{number(20000101, 20301231)}_{number(100000, 235959)}.jpg",
+        lambda: word() + "".join(word().capitalize() for _ in range(int(rng.integers(3, 6)))) + f".{word()}{number(1, 9)}", lambda: f"{word().upper()}_{word().upper()}_{word().upper()}_{number(1, 9999)}",
         lambda: "-".join(word() for _ in range(4)) + number(1, 99), lambda: f"{word()}.{number(1, 99)}-{word()}.{word()}-mail{number(1, 9)}", lambda: number(10**14, 10**15) + word()[:1],
     ]
     hints = ['key: "', "auth = ", "Authorization: Bearer ", "export K=", "credentials ", "https://host/?sig="]
@@ -150,7 +163,7 @@ class Network:
 
 @functools.lru_cache(maxsize=2)
 def trained(seed: int = SEED) -> Network:
-    """The network fitted to the labelled findings, calibrated, with its threshold; the same on every worker."""
+    """The network fitted to the labelled findings, calibrated, with its threshold; for the driver to train and send."""
     texts, y = labelled_findings(EXAMPLES, seed)
     x = np.stack([windows(*t)[0] for t in texts])
     held = np.arange(len(x)) % 3 == 2
@@ -167,24 +180,37 @@ def trained(seed: int = SEED) -> Network:
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
                 moments[k] = m, v
                 net.p[k] = (net.p[k] - 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    z, t = net.forward(x[held]).astype(np.float64), y[held]
+    calibrating, deciding = np.flatnonzero(held)[: held.sum() // 2], np.flatnonzero(held)[held.sum() // 2 :]
+    z, t = net.forward(x[calibrating]).astype(np.float64), y[calibrating]
     scale, shift = 1.0, 0.0
     for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(scale * z + shift, -40, 40)))
         scale, shift = scale - 0.05 * float(((q - t) * z).mean()), shift - 0.5 * float((q - t).mean())
     net.scale, net.shift = scale, shift
-    chances = np.sort(net.probability(x[held])[t == 1])
-    net.threshold = float(chances[int((1 - RECALL) * len(chances))])
+    chances = np.sort(net.probability(x[deciding])[y[deciding] == 1])
+    net.threshold = min(0.5, float(chances[misses(len(chances))]))
+    net.kept = None
     return net
 
 
+def misses(n: int) -> int:
+    """The most misses among n secrets that a recall of RECALL or less would stay at or below with a chance of at most DOUBT; 0 if none are few enough."""
+    chance = total = RECALL**n
+    k = 0
+    while True:
+        chance *= (n - k) / (k + 1) * (1 - RECALL) / RECALL
+        if total + chance > DOUBT:
+            return k
+        total, k = total + chance, k + 1
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan_texts(texts: list) -> list[tuple]:
+def scan_texts(texts: list, net: Network | None = None) -> list[tuple]:
     """For each text: counts of the base kinds, their digest, all spans, number of model findings, the best model score."""
-    net, base, asked, codes = trained(), [], [], []
+    net, base, asked, codes = net or trained(), [], [], []
     for i, text in enumerate(texts):
         found = base_findings(text) if text else []
         base.append(found)
@@ -207,11 +233,12 @@ def scan_texts(texts: list) -> list[tuple]:
     return out
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        yield batch(arrow_schema(SCHEMA), part.column("doc_id"), *zip(*scan_texts(part.column("text").to_pylist())))
-
-
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text): base counts and digest, all spans as kind:start:end, and the model's part."""
-    return documents(docs).mapInArrow(_run, SCHEMA)
+    sent = docs.sparkSession.sparkContext.broadcast(trained())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield batch(arrow_schema(SCHEMA), part.column("doc_id"), *zip(*scan_texts(part.column("text").to_pylist(), sent.value)))
+
+    return documents(docs).mapInArrow(run, SCHEMA)
