@@ -1,14 +1,15 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut at block-level tags into flat blocks of text. Each block has its word count and link density and those of its
-neighbours, what its place in the markup says (inside navigation, header, footer, aside or form; inside article or main; a class or id that
-names boilerplate or content; heading) and what its page has of content elements and blocks. A decision tree trained on a small labelled table, pages that rules build here from a fixed seed,
-keeps the blocks of the article. Scripts, styles, comments and the head never become blocks. Of an svg its text elements are read; math is
+A page is cut at block-level tags into flat blocks of text. Each block has its word count and link density, those of its two neighbours on
+either side, its place in the page and the page's number of blocks: the FLAT features, which alone may decide in the top FIRST levels of the tree. Below them it may also ask
+what a block's place in the markup says (inside navigation, header, footer, aside or form; inside article or main; a class or id that
+names boilerplate or content; heading) and what its page has of content elements. The tree is trained once, on the driver, on a small labelled table, pages
+that rules build here from a fixed seed, and keeps the blocks of the article. Scripts, styles, comments and the head never become blocks. Of an svg its text elements are read; math is
 text but for its annotations.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by two
-newlines. Defined cases: null and empty html give an empty text with 0 characters; html without tags is one block; unclosed tags, comments and
-scripts run to the end of what holds them. Rows are extracted one by one, repeated rows alike; other columns are not read.
+newlines. Defined cases: null and empty html give an empty text with 0 characters; html without tags is one block; a tag without its end ends before the
+next "<", and comments and scripts run to the end of what holds them. Rows are extracted one by one, repeated rows alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,17 +43,31 @@ BAD_WORDS = set(
     "subscription signup login search copyright legal pagination pager tags tagcloud meta byline skip".split()
 )
 GOOD_WORDS = set("article content post entry story body text main prose".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:svg|annotation-xml|annotation)\b(?:[^>"']|"[^"]*"|'[^']*')*/>|<(script|style|noscript|template|svg|iframe|object|canvas|annotation-xml|annotation|audio|video|head)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S | re.I)
-SVG_TEXT = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|title|desc|metadata)\b(?:[^>"']|"[^"]*"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<(text|foreignObject)\b(?:[^>"']|"[^"]*"|'[^']*')*(?:(?<=/)>|>(.*?)(?:</\2\s*>|\Z))""", re.S | re.I)
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|title|desc)\b.*?(?:</\1\s*>|\Z)|<[^>]*>""", re.S | re.I)
+#: Attributes up to a tag's end or the next tag; those of a tag that ends itself; where a tag ends, though its ">" be missing.
+ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
+SELF = r"""(?:[^<>"'/]|/(?!>)|"[^"]*"|'[^']*')*+/>"""
+END = r"(?:>|(?=<)|\Z)"
+TOKEN = re.compile(
+    rf"""<!--.*?(?:-->|\Z)|<(?:svg|annotation-xml|annotation)\b{SELF}"""
+    rf"""|<(script|style|noscript|template|svg|iframe|object|canvas|annotation-xml|annotation|audio|video|head)\b{ATTRIBUTES}>.*?(?:</\1\s*>|(?=<body\b)|\Z)"""
+    rf"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES}){END}|<[!?/][^<>]*{END}""",
+    re.S | re.I,
+)
+SVG_TEXT = re.compile(
+    rf"""<!--.*?(?:-->|\Z)|<(?:script|style|title|desc|metadata|text|foreignObject)\b{SELF}|<(script|style|title|desc|metadata)\b{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"""
+    rf"""|<(text|foreignObject)\b{ATTRIBUTES}>(.*?)(?:</\2\s*>|\Z)""",
+    re.S | re.I,
+)
+TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|title|desc)\b{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[^<>]*{END}""", re.S | re.I)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Depth and smallest leaf of the tree.
-DEPTH, LEAF, SEED = 7, 4, 11
-FEATURES = "words density words_before density_before words_after density_after menu header footer aside form body bad good heading item paragraph body_on_page good_on_page blocks_on_page outside".split()
+#: Depth of the tree, its top levels that ask flat features alone, and its smallest leaf.
+DEPTH, FIRST, LEAF, SEED = 9, 3, 4, 11
+FLAT = "words density words_before density_before words_after density_after words_before_2 density_before_2 words_after_2 density_after_2 position blocks_on_page".split()
+FEATURES = FLAT + "menu header footer aside form body bad good heading item paragraph body_on_page good_on_page outside".split()
 
 
-PLACES = FEATURES[6:17]
+PLACES = FEATURES[len(FLAT) : len(FLAT) + 11]
 
 
 @dataclass
@@ -72,6 +88,7 @@ def blocks(page: str) -> list[Block]:
     held: list[str] = []
     linked = [0, 0]  # link depth, linked words
     stack: list[tuple[str, frozenset]] = [("", frozenset())]
+    opened: Counter[str] = Counter()
 
     def close() -> None:
         text = " ".join(html.unescape("".join(held)).split())
@@ -107,16 +124,17 @@ def blocks(page: str) -> list[Block]:
         elif name in BLOCKS:
             close()
             if m[2]:
-                if any(n == name for n, _ in stack[1:]):
-                    while stack[-1][0] != name:
-                        stack.pop()
-                    stack.pop()
+                if opened[name]:
+                    while (last := stack.pop()[0]) != name:
+                        opened[last] -= 1
+                    opened[name] -= 1
                 continue
             if name in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and len(stack) > 1 and stack[-1][0] == name or stack[-1][0] == "p":
-                stack.pop()  # its end tag may be left out
+                opened[stack.pop()[0]] -= 1  # its end tag may be left out
             if name in VOID:
                 continue
             stack.append((name, stack[-1][1] | _flags(name, m[4], stack[-1][1])))
+            opened[name] += 1
     add(page[at:])
     close()
     return out
@@ -154,12 +172,14 @@ def features(found: list[Block]) -> np.ndarray:
         return np.zeros((0, len(FEATURES)))
     words, density = np.array([b.words for b in found], float), np.array([b.density for b in found])
     place = np.array([b.place for b in found], float)
-    before = lambda v: np.concatenate([[0.0], v[:-1]])
-    after = lambda v: np.concatenate([v[1:], [0.0]])
+    n = len(found)
+    before = lambda v, k: np.concatenate([np.zeros(k), v])[:n]
+    after = lambda v, k: np.concatenate([v[k:], np.zeros(k)])[:n]
+    near = [f(v, k) for k in (1, 2) for f in (before, after) for v in (words, density)]
     inside = np.maximum(place[:, PLACES.index("body")], place[:, PLACES.index("good")])
     outside = (inside < inside.max()).astype(float)  # the page has content elements, and the block is in none
-    page = [place[:, PLACES.index("body")].max(), place[:, PLACES.index("good")].max(), len(found)]
-    return np.column_stack([words, density, before(words), before(density), after(words), after(density), place, np.tile(page, (len(found), 1)), outside])
+    page = [place[:, PLACES.index("body")].max(), place[:, PLACES.index("good")].max()]
+    return np.column_stack([words, density, *near, np.arange(n) / max(1, n - 1), np.full(n, n), place, np.tile(page, (n, 1)), outside])
 
 
 def labelled_pages(n: int, seed: int) -> list[list[tuple[str, int]]]:
@@ -215,13 +235,13 @@ def labelled_table(n: int = 250, seed: int = SEED) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(x), np.array(y)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH) -> tuple:
-    """A tree: (share of label 1,) or (feature, cut, below or at it, above it), by Gini impurity."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, first: int = FIRST) -> tuple:
+    """A tree: (share of label 1,) or (feature, cut, below or at it, above it), by Gini impurity; first: levels yet to come that ask flat features alone."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * LEAF:
         return (share,)
     best = None
-    for f in range(x.shape[1]):
+    for f in range(len(FLAT) if first > 0 else x.shape[1]):
         order = np.argsort(x[:, f], kind="stable")
         v, ones = x[order, f], np.cumsum(y[order])
         k = np.arange(1, len(y))
@@ -234,14 +254,14 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH) -> tuple:
         if best is None or cost[at] < best[0] - 1e-12:
             best = (cost[at], f, (v[at] + v[at + 1]) / 2)
     if best is None or best[0] >= len(y) * share * (1 - share) - 1e-12:
-        return (share,)
+        return (share,) if first <= 0 else grow(x, y, depth - first, 0)
     left = x[:, best[1]] <= best[2]
-    return best[1], best[2], grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+    return best[1], best[2], grow(x[left], y[left], depth - 1, first - 1), grow(x[~left], y[~left], depth - 1, first - 1)
 
 
 @functools.lru_cache(maxsize=1)
 def tree() -> tuple:
-    """The tree of the labelled table, the same on every worker."""
+    """The tree of the labelled table, for the driver to train and send."""
     return grow(*labelled_table())
 
 
@@ -254,10 +274,10 @@ def decide(x: np.ndarray, node: tuple) -> np.ndarray:
     return out
 
 
-def extract_all(pages: list) -> list[tuple[str, int]]:
+def extract_all(pages: list, root: tuple | None = None) -> list[tuple[str, int]]:
     """(main text, number of its blocks) of each page."""
     found = [blocks(p) if p else [] for p in pages]
-    kept = decide(np.concatenate([np.zeros((0, len(FEATURES))), *map(features, found)]), tree()) >= 0.5
+    kept = decide(np.concatenate([np.zeros((0, len(FEATURES))), *map(features, found)]), root or tree()) >= 0.5
     out, at = [], 0
     for page in found:
         mine = [b.text for b, keep in zip(page, kept[at : at + len(page)]) if keep]
@@ -266,13 +286,14 @@ def extract_all(pages: list) -> list[tuple[str, int]]:
     return out
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "html"):
-        texts = extract_all(part.column("html").to_pylist())
-        yield batch(arrow_schema(SCHEMA), part.column("page_id"), part.column("url"), [t for t, _ in texts], [len(t) for t, _ in texts], [n for _, n in texts])
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """A row for each row of pages (page_id, url, html): page_id, url, text, n_chars, n_blocks."""
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return narrow.mapInArrow(_run, SCHEMA)
+    root = tree()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "html"):
+            texts = extract_all(part.column("html").to_pylist(), root)
+            yield batch(arrow_schema(SCHEMA), part.column("page_id"), part.column("url"), [t for t, _ in texts], [len(t) for t, _ in texts], [n for _, n in texts])
+
+    return narrow.mapInArrow(run, SCHEMA)
