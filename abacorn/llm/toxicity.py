@@ -1,13 +1,14 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Learning: every labelled document outside the held-out third is counted token by token on the cluster, with a limit a document; log-odds of toxic against clean
+Learning: every labelled document outside the held-out third is counted token by token on the cluster, each token at most PER_DOC times a document; log-odds of toxic against clean
 with an informative Dirichlet prior (the pooled counts) give each word and each stem (the first STEM letters of a longer word) a z-score,
 and those with z above a threshold keep their log-odds less a
 standard deviation. A token scores its word's log-odds or else its stem's; all others score
 the drift, a small negative. Scoring: the linear scan over cumulative sums finds every maximal-scoring segment of the
 whole text (disjoint passages, each with the property that every prefix and suffix of it scores positive). Scores of segments become
 E-values by extreme-value statistics: lambda solves sum p exp(lambda s) = 1 over clean token frequencies p, and a text of n tokens
-expects K n exp(-lambda S) segments of score S or more by chance. Segments with E below SIGNIFICANT are the toxic passages; the text's
+expects K n exp(-lambda S) segments of score S or more by chance; K is the likeliest for the best scores of clean documents of the sample, those without a
+segment counted as below the least score. Segments with E below SIGNIFICANT are the toxic passages; the text's
 evidence is the log E of all of them together, and a logistic curve fitted on a bounded sample of the learning part turns it into the score.
 
 Only the text is an input of a score. Defined cases: null, empty and token-free texts have no segment and get the score of a text
@@ -18,20 +19,20 @@ from every score is 0. Rows are scored one by one, repeated rows alike; other co
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abacorn.llm.common import arrow_schema, batch, broadcast_if_small, documents, held_out, materialise, slices
 
-#: A run of letters and marks; the same on both sides, Java's and Python's.
-TOKEN = re.compile(r"[^\W\d_]+")
-JAVA_TOKEN = r"(?U)[\w&&[^\d_]]+"
+#: A run of letters and marks, for Java and for regex alike.
+LETTERS = r"[\p{L}\p{M}]+"
+TOKEN = regex.compile(LETTERS)
 #: z-score from which a token's log-odds count; toxic documents in which one must occur;
 #: occurrences of a token that a document may count.
 LEAST_Z, LEAST_DOCS, PER_DOC = 4.0, 3, 4
@@ -115,12 +116,12 @@ def extreme_rate(scores: np.ndarray, shares: np.ndarray) -> float:
     return low
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(base, slope) of the logistic curve over log(1 + evidence), by Newton steps with a small ridge."""
+def fit_curve(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[float, float]:
+    """(base, slope) of the logistic curve over log(1 + evidence), by Newton steps with a small ridge; times: how often each point counts."""
     design, w = np.stack([np.ones_like(x), x], axis=1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (y - p) - 1e-3 * w)
+        step = np.linalg.solve((design * (times * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (times * (y - p)) - 1e-3 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -128,53 +129,81 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the labelled documents outside the held-out third; the tokens that pass LEAST_Z, LEAST and LEAST_DOCS and 2 * CURVE_DOCS evidence values reach the driver."""
+    """Fit on the labelled documents outside the held-out third; the tokens that pass LEAST_Z, LEAST and LEAST_DOCS reach the driver, and counted evidence values."""
     marked = labels.where("toxic is not null and doc_id is not null").where(~held_out())
     marked = materialise(marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")), "labels")
     known = docs.join(broadcast_if_small(marked), "doc_id").where("text is not null")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(JAVA_TOKEN), F.lit(0))
-    stems = F.transform(F.filter("words", lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit(MARK), F.substring(w, 1, STEM)))
-    tokens = known.select("doc_id", "toxic", words.alias("words")).select("doc_id", "toxic", F.explode(F.concat("words", stems)).alias("token"))
-    each = tokens.groupBy("token", "toxic").agg(F.count("*").alias("all"), F.approx_count_distinct("doc_id", 0.1).alias("docs"))
-    # PER_DOC times a document at most, on average, so that no long document speaks for many
-    each = each.withColumn("n", F.least("all", F.col("docs") * PER_DOC))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))
+    each = known.select("toxic", F.explode(_counted(words)).alias("t")).groupBy("t.token", "toxic").agg(F.count("*").alias("n"), F.sum("t.first").alias("docs"))
     sides = materialise(each.groupBy("token").agg(*(F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias(f"n{t}") for t in (0, 1)), F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("docs1")), "tokens")
-    total = sides.agg(F.sum("n0"), F.sum("n1")).first()
-    clean, toxic = float(total[0] or 0), float(total[1] or 0)
+    stem = F.col("token").startswith(MARK)
+    total = {r["stem"]: (float(r["n0"]), float(r["n1"])) for r in sides.groupBy(stem.alias("stem")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
+    (clean, toxic), stems = total.get(False, (0.0, 0.0)), total.get(True, (0.0, 0.0))
     if not clean or not toxic:
         return Model()
-    size = PRIOR * (clean + toxic)
     prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1"))
-    odds = lambda n, all_: F.log((F.col(n) + prior) / (F.lit(all_ + size) - F.col(n) - prior))
-    delta = odds("n1", toxic) - odds("n0", clean)
+
+    def odds(n: str, side: int) -> Column:
+        """Of words among words, of stems among stems, with the prior's share of all counts of the kind."""
+        all_ = F.when(stem, stems[side] + PRIOR * sum(stems)).otherwise((clean, toxic)[side] + PRIOR * (clean + toxic))
+        return F.log((F.col(n) + prior) / (all_ - F.col(n) - prior))
+
+    delta = odds("n1", 1) - odds("n0", 0)
     spread = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
     rated = sides.withColumn("z", delta / spread).withColumn("delta", delta - spread)  # a standard deviation on the safe side
     picked = rated.where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST) & (F.col("docs1") >= LEAST_DOCS)).orderBy(F.desc("z"), "token")
     rows = picked.select("token", "delta", "n0").collect()
     if not rows:
         return Model()
-    bounded = [(r["token"], min(TOP, r["delta"]), r["n0"] / clean) for r in rows]
-    model = Model({w: s for w, s, _ in bounded if w[0] != MARK}, {w[1:]: s for w, s, _ in bounded if w[0] == MARK})
-    scores, shares = np.array([s for _, s, _ in bounded] + [DRIFT]), np.array([p for *_, p in bounded])
+    scored = {r["token"]: min(TOP, r["delta"]) for r in rows}
+    model = Model({w: s for w, s in scored.items() if w[0] != MARK}, {w[1:]: s for w, s in scored.items() if w[0] == MARK})
+    # shares of clean words by the score they get: a word's own, or else its stem's
+    counts = {r["token"]: float(r["n0"]) for r in rows}
+    for word in model.scores:
+        if len(word) > STEM and MARK + word[:STEM] in counts:
+            counts[MARK + word[:STEM]] -= counts[word]
+    scores, shares = np.array([*scored.values(), DRIFT]), np.array([max(0.0, counts[w]) / clean for w in scored])
     shares = np.append(shares, max(0.0, 1 - shares.sum())) + 1e-9
     model.rate = extreme_rate(scores, shares / shares.sum())
-    # what begins a segment by chance is a token of a positive score
-    model.constant = max(float(shares[:-1].sum()), 1e-6)
     share = min(1.0, CURVE_DOCS / max(1, marked.count()))
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "toxic")
+    model.constant = _constant(sample.where("toxic = 0"), model)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            yield batch(arrow_schema("evidence double, toxic int"), [evidence(passages(t, sent.value)[1]) for t in part.column("text").to_pylist()], part.column("toxic"))
+            yield batch(arrow_schema("x double, toxic int"), [math.log1p(evidence(passages(t, sent.value)[1])) for t in part.column("text").to_pylist()], part.column("toxic"))
 
-    seen = sample.mapInArrow(rate, "evidence double, toxic int").groupBy(F.round("evidence", 2).alias("evidence"), "toxic").count().limit(2 * CURVE_DOCS).toPandas()
-    x, y = (np.repeat(seen[c].to_numpy(dtype=float), seen["count"]) for c in ("evidence", "toxic"))
+    # a logarithm of at most 21 in steps of a thousandth: few rows, whatever the sample
+    seen = sample.mapInArrow(rate, "x double, toxic int").groupBy(F.round("x", 3).alias("x"), "toxic").count().orderBy("x", "toxic").toPandas()
+    x, y, times = (seen[c].to_numpy(dtype=float) for c in ("x", "toxic", "count"))
     if len(set(y)) == 2:
-        model.base, model.slope = fit_curve(np.log1p(x), y)
+        model.base, model.slope = fit_curve(x, y, times)
     return model
 
 
+def _counted(words: Column) -> Column:
+    """The tokens (words, and stems behind MARK) that a document counts: each at most PER_DOC times, first once. Arrays of one element bind names."""
+    stems = lambda w: F.transform(F.filter(w, lambda x: F.length(x) > STEM), lambda x: F.concat(F.lit(MARK), F.substring(x, 1, STEM)))
+    ordered = F.transform(F.array(words), lambda w: F.array_sort(F.concat(w, stems(w))))
+    kept = lambda s: F.filter(F.transform(s, lambda x, i: F.struct(x.alias("token"), F.when((i > 0) & (F.get(s, i - 1) == x), 0).otherwise(1).alias("first"), ((i >= PER_DOC) & (F.get(s, i - PER_DOC) == x)).alias("over"))), lambda t: ~t["over"])
+    return F.flatten(F.transform(ordered, kept))
+
+
+def _constant(clean: DataFrame, model: Model) -> float:
+    """K from clean documents of the sample: those with a segment, by the sum of n exp(-lambda best score), LEAST standing in for a best score that isn't there."""
+    sent = clean.sparkSession.sparkContext.broadcast(model)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [passages(t, sent.value) for t in part.column("text").to_pylist()]
+            tops = [max((s for _, _, s, _ in runs), default=0.0) for _, runs in found]
+            yield batch(arrow_schema("some int, mass double"), [int(s > 0) for s in tops], [n * math.exp(-model.rate * max(s, LEAST)) for (n, _), s in zip(found, tops)])
+
+    some, mass = clean.select("text").mapInArrow(best, "some int, mass double").agg(F.sum("some"), F.sum("mass")).first()
+    return max(0.5, some or 0) / mass if mass else 1.0
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each row of docs (doc_id, text): score, predicted, and the significant passages as first:last token."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
