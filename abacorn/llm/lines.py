@@ -1,13 +1,13 @@
 """Line dedup by distinct-site spread.
 
-Every line of LEAST_WORDS words or more is hashed. A HyperLogLog sketch of the sites (sources) that show it is kept for each line hash and
+Every line with a letter or a digit is hashed. A HyperLogLog sketch of the sites (sources) that show it is kept for each line hash and
 merges by aggregation, before the shuffle and after it. Lines whose estimate is far above SITES are settled by it; all others that are
 seen SITES times get an exact distinct count of their sites: a sketch has few registers, so sites that share them can hide a line. Lines of SITES sites or more are boilerplate: they stay at their first place (in the document of the
 smallest doc_id, the first of equals there) and are removed everywhere else.
 
 The sketches' sizes are fixed and merge per task, so a line that every document holds costs a task one row. The set of boilerplate lines is
 counted; up to BROADCAST_BYTES of them, at ENTRY_BYTES each, are sent to all tasks and texts stay where they are, and beyond it line places are joined by
-shuffle. Defined cases: null texts stay null and empty ones empty; blank lines and lines of fewer words always stay; a null source is no
+shuffle. Defined cases: null texts stay null and empty ones empty; lines without a letter or digit (blank ones, rules, lone brackets) always stay; a null source is no
 site; where doc_id is null no line counts as the first. Repeated rows are cleaned alike. Lines are compared without
 spaces, tabs and carriage returns at their ends.
 """
@@ -18,12 +18,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abacorn.llm.common import BROADCAST_BYTES, broadcast_if_small, materialise, slices
 
-SITES, LEAST_WORDS = 5, 5
+SITES = 5
+#: What a line must hold to count, for Java and for regex alike.
+COUNTS = r"[\p{L}\p{N}]"
+COUNTED = regex.compile(COUNTS)
 #: Relative standard error of a sketch; estimates up to NEAR above SITES are counted exactly (over three standard errors).
 ERROR, NEAR = 0.1, 0.35
 #: Bytes of a line hash and its first place in a Python dictionary.
@@ -35,8 +39,7 @@ def line_sites(docs: DataFrame) -> DataFrame:
     """A row for each line that counts: hash, site, doc_id; docs: doc_id, text, source."""
     lines = docs.where("text is not null").select("doc_id", F.col("source").alias("site"), F.explode(F.split("text", "\n")).alias("raw"))
     line = F.btrim("raw", F.lit(ENDS))
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return lines.where(words >= LEAST_WORDS).select(F.xxhash64(line).alias("hash"), "site", "doc_id")
+    return lines.where(line.rlike(COUNTS)).select(F.xxhash64(line).alias("hash"), "site", "doc_id")
 
 
 def boilerplate(docs: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def clean(text: str, doc_id: int | None, first: dict[int, int | None]) -> tuple[
     out, seen, lines = [], set(), text.split("\n")
     for line in lines:
         bare = line.strip(ENDS)
-        if bare.count(" ") + 1 >= LEAST_WORDS:
+        if COUNTED.search(bare):
             value = xxhash.xxh64_intdigest(bare.encode(), 42)
             value -= (value >> 63) << 64
             if value in first:
@@ -102,8 +105,7 @@ def _by_shuffle(docs: DataFrame, found: DataFrame, counter: str) -> DataFrame:
     rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     places = rows.where("text is not null").select("__row", F.col("doc_id").cast("long").alias("__id"), F.posexplode(F.split("text", "\n")).alias("__at", "__raw"))
     line = F.btrim("__raw", F.lit(ENDS))
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    hit = places.where(words >= LEAST_WORDS).select("__row", "__id", "__at", F.xxhash64(line).alias("hash")).join(found, "hash")
+    hit = places.where(line.rlike(COUNTS)).select("__row", "__id", "__at", F.xxhash64(line).alias("hash")).join(found, "hash")
     home = hit.where(F.col("__id") == F.col("first")).groupBy("__row", "hash").agg(F.min("__at").alias("__at"))
     gone = hit.select("__row", "hash", "__at").join(home, ["__row", "hash", "__at"], "left_anti").groupBy("__row").agg(F.collect_set("__at").alias("__gone"))
     joined = rows.join(gone, "__row", "left")

@@ -75,7 +75,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS i FROM d WHERE text IS NOT NULL),
 b AS (SELECT doc_id, source, i, parts[i] AS raw, trim(parts[i], ' ' || chr(9) || chr(13)) AS line FROM l),
-c AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 >= {lines.LEAST_WORDS} AS counts FROM b),
+c AS (SELECT *, regexp_matches(line, '{lines.COUNTS}') AS counts FROM b),
 s AS (SELECT line, min(doc_id) AS first FROM c WHERE counts GROUP BY line HAVING count(DISTINCT source) >= {lines.SITES}),
 h AS (SELECT c.*, s.first, row_number() OVER (PARTITION BY c.line, c.doc_id ORDER BY i) AS nth FROM c LEFT JOIN s ON c.counts AND s.line = c.line),
 k AS (SELECT *, first IS NULL OR (first = doc_id AND nth = 1) AS stays FROM h),
