@@ -38,7 +38,7 @@ FAMILIES = {
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 #: Texts of each language that the fit sees, the longest that may be among them, and languages beyond which they share what so many would see.
-SAMPLE, SAMPLE_CHARS, FULL_LANGUAGES = 400, 50_000, 200
+SAMPLE, SAMPLE_CHARS, FULL_LANGUAGES = 400, 20_000, 50
 CELLS = 1 << 12
 GRAMS = 3
 LETTER = regex.compile(r"\p{L}")
