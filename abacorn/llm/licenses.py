@@ -7,8 +7,9 @@ cosine, then template name). A licence file is one with a licence file's name or
 A file without a licence of its own inherits that of the licence file in the nearest directory above it, found by joining the paths of the
 distinct directories and their ancestors with the directories of licence files.
 
-Of passages of at most PASSAGE_WORDS words (paragraphs: and PASSAGE_CHARS characters; longer ones are not scored) none is dropped that could pass: one of cosine LEAST must share with its template a term of the prefix, the template's terms
-by falling weight without the tail whose norm is below LEAST; only such passages are scored. The templates are a fixed small table.
+No passage is dropped that could pass, however long: one of cosine LEAST must share with its template a term of the prefix, the template's terms
+by falling weight without the tail whose norm is below LEAST; only such passages are scored, each in time proportional to its length (and the sorting of its
+words). The templates are a fixed small table.
 
 Defined cases: null, empty and blank texts have no licence of their own but may inherit; a null path inherits nothing. Among licence files of
 one directory the smallest (licence, path) counts. Each row of files gives one row, repeated rows too; other columns are not read.
@@ -46,8 +47,7 @@ TEMPLATES = [
 LEAST = 0.7
 #: Limit for a broadcast of rows of three paths, each counted as 16 bytes and taken to be up to 160 long.
 TEXT_BYTES = BROADCAST_BYTES // 10
-#: Words and characters of the longest passage that is compared; a licence file's names.
-PASSAGE_WORDS, PASSAGE_CHARS = 400, 4000
+#: A licence file's names.
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|unlicense|copyright)([._-][^/]*)?$"
 SPLIT = "[^\\p{L}\\p{N}]+"
 
@@ -99,9 +99,9 @@ def own_licences(files: DataFrame) -> DataFrame:
     asked = F.array(*map(F.lit, sorted(prefixes(unit))))
     weights = F.create_map(*(F.lit(x) for t, w in sorted(idf.items()) for x in (t, w)))
     text = F.coalesce("text", F.lit(""))
-    passages = F.array_union(F.split(text, "\n"), F.filter(F.split(text, "\n[ \t\r]*\n"), lambda x: F.length(x) <= PASSAGE_CHARS))
+    passages = F.array_union(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"))
     split = F.transform(passages, lambda x: F.struct(F.length(x).alias("chars"), _tokens(x).alias("tokens")))
-    asking = F.filter(split, lambda x: F.arrays_overlap(x["tokens"], asked) & (F.size(x["tokens"]) <= PASSAGE_WORDS))
+    asking = F.filter(split, lambda x: F.arrays_overlap(x["tokens"], asked))
     # the only pass over the texts; from here on there are the few passages that may pass
     rows = materialise(files.select(*(c for c in files.columns if c != "text"), F.length(text).alias("chars"), asking.alias("_asking")), "asking")
     rated = F.transform("_asking", lambda x: _rate(x["tokens"], x["chars"], unit, weights, other))
@@ -121,21 +121,29 @@ def _better(a: Column, x: Column) -> Column:
 
 def _rate(tokens: Column, chars: Column, unit: list[tuple[str, dict[str, float]]], weights: Column, other: float) -> Column:
     """(cosine, licence, chars) of a passage's best template."""
-    counted = F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("t"), (F.size(tokens) - F.size(F.array_remove(tokens, t))).alias("n")))
-    weighed = F.transform(counted, lambda e: F.struct(e["t"].alias("t"), (e["n"] * F.coalesce(F.element_at(weights, e["t"]), F.lit(other))).alias("w")))
     tables = [(name, F.create_map(*(F.lit(x) for t, w in sorted(vector.items()) for x in (t, w)))) for name, vector in unit]
     start = F.struct(F.lit(0.0).alias("cosine"), F.lit(None).cast("string").alias("licence"), F.lit(0).alias("chars"))
+    weigh = lambda t: F.coalesce(F.element_at(weights, t), F.lit(other))
+
+    def longer(a: Column, t: Column) -> Column:
+        """A word after the sorted ones before it: its k-th occurrence adds k * k - (k - 1) * (k - 1) squares of its weight to the norm's square."""
+        k = F.when(t == a["last"], a["k"] + 1).otherwise(1)
+        return F.struct(t.alias("last"), k.alias("k"), (a["square"] + (2 * k - 1) * weigh(t) * weigh(t)).alias("square"))
+
+    nothing = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("k"), F.lit(0.0).alias("square"))
+    norm = F.sqrt(F.aggregate(F.array_sort(tokens), nothing, longer)["square"])
+    known = F.filter(tokens, lambda t: F.map_contains_key(weights, t))
 
     def options(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-        return F.array(*(F.struct((_dot(v, table) / norm).alias("cosine"), F.lit(name).alias("licence"), chars.alias("chars")) for name, table in tables))
+        return F.array(*(F.struct((_dot(v["known"], weights, table) / v["norm"]).alias("cosine"), F.lit(name).alias("licence"), chars.alias("chars")) for name, table in tables))
 
-    # an array of one element binds the vector to a name, so that it is worked out once
-    return F.aggregate(F.transform(F.array(weighed), options)[0], start, lambda a, x: _better(a, x))
+    # an array of one element binds what is worked out once to a name
+    return F.aggregate(F.transform(F.array(F.struct(norm.alias("norm"), known.alias("known"))), options)[0], start, lambda a, x: _better(a, x))
 
 
-def _dot(weighed: Column, table: Column) -> Column:
-    return F.aggregate(weighed, F.lit(0.0), lambda a, e: a + e["w"] * F.coalesce(F.element_at(table, e["t"]), F.lit(0.0)))
+def _dot(known: Column, weights: Column, table: Column) -> Column:
+    """The sum over occurrences of template words."""
+    return F.aggregate(known, F.lit(0.0), lambda a, t: a + F.element_at(weights, t) * F.coalesce(F.element_at(table, t), F.lit(0.0)))
 
 
 def directory(path: Column) -> Column:
