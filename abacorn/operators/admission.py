@@ -1,8 +1,9 @@
-"""Which submitted rows are accepted: stateless rules as expressions, the ordered fold per ledger, and the fold per account where that suffices."""
+"""Which submitted rows are accepted: stateless rules as expressions, the ordered fold, and the fold per account where that suffices."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,13 @@ from pyspark.sql import functions as F
 
 from abacorn import schema as S
 from abacorn.functions.ledger import account_error, has, kinds, unknown_flags
-from abacorn.operators.fold import Account, Ledger, admit
+from abacorn.operators import journal
+from abacorn.operators.fold import Account, Hold, Ledger, admit
+from abacorn.operators.graph import components
 
+#: What a fold needs of an account, and of a hold that is open.
+ACCOUNT_FIELDS = ("currency", "ledger", "flags", "posted_debits", "posted_credits", "pending_debits", "pending_credits")
+HOLD_COLUMNS = {"transfer_id": "long", "debit_account_id": "long", "credit_account_id": "long", "left": "long", "ledger": "long", "deadline_ns": "long"}
 OUTCOMES = "batch_id long, idx int, transfer_id long, ledger long, ok boolean, error_code string, error_subject string"
 
 
@@ -66,9 +72,26 @@ def chain_outcomes(items: DataFrame) -> DataFrame:
     return c.withColumn("outcome", outcome).drop("first_bad", "last")
 
 
+@dataclass
+class State:
+    """What admission knows after a journal: open holds (HOLD_COLUMNS), every id accepted so far (transfer_id), and the clock."""
+
+    holds: DataFrame
+    ids: DataFrame
+    clock_ns: int
+
+
+def restore(accounts: DataFrame, journal_: DataFrame) -> tuple[DataFrame, State]:
+    """Replay: the accounts with their balances after the journal, and the state from which admit_batches goes on."""
+    clock = int(journal_.agg(F.max("ts_ns")).first()[0] or 0)
+    ledgers = journal_.where(has(F.col("flags"), S.PENDING)).groupBy("transfer_id").agg(F.max("ledger").alias("ledger"))
+    open_ = journal.holds(journal_).where("status = 'open'").join(ledgers, "transfer_id").select(*HOLD_COLUMNS)
+    settles = has(F.col("flags"), S.POST) | has(F.col("flags"), S.VOID)
+    return journal.balances(accounts, journal_), State(open_, journal_.where(~settles).select("transfer_id").distinct(), clock)
+
+
 def _accounts(frame: pd.DataFrame) -> dict:
-    names = ("currency", "ledger", "flags", "posted_debits", "posted_credits", "pending_debits", "pending_credits")
-    return {row.account_id: Account(**{n: (str if n == "currency" else int)(getattr(row, n)) for n in names}) for row in frame.itertuples()}
+    return {int(row.account_id): Account(**{n: (str if n == "currency" else int)(getattr(row, n)) for n in ACCOUNT_FIELDS}) for row in frame.itertuples()}
 
 
 def run_batches(ledger: Ledger, frame: pd.DataFrame) -> Iterator[tuple]:
@@ -88,18 +111,84 @@ def run_batches(ledger: Ledger, frame: pd.DataFrame) -> Iterator[tuple]:
         start = end
 
 
-def admit_batches(submitted: DataFrame, accounts: DataFrame) -> DataFrame:
-    """The ordered fold: outcomes of submitted rows, each ledger folded alone (a transfer can't cross ledgers).
+def admit_batches(submitted: DataFrame, accounts: DataFrame, state: State | None = None, buckets: int | None = None) -> DataFrame:
+    """The ordered fold: outcomes of submitted rows, over all ledgers; state: what earlier batches left behind (accounts then carry their balances).
 
-    submitted: batch_id, idx, transfer_id, debit_account_id, credit_account_id, amount, ledger, flags, timeout_ns, now_ns. A ledger is a
-    sequential unit by definition: one decision depends on the last. Where one ledger is too hot, split it into the
-    connected parts of its accounts first, with partition_key.
+    submitted: batch_id, idx, transfer_id, debit_account_id, credit_account_id, amount, ledger, flags, timeout_ns, now_ns. Decisions depend on each
+    other only through accounts that debit, repeated ids, holds and chains; parts of the rows that share none of these are folded apart, dealt to
+    buckets (by default four for each shuffle partition). A part is sequential by definition. Accounts that are only credited, as sinks are, join no
+    parts; their credits count nowhere unless they are near the limit of money.
     """
-
-    def fold(_key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(run_batches(Ledger(_accounts(known)), rows)), columns=[c.split()[0] for c in OUTCOMES.split(", ")])
-
-    return submitted.groupBy("ledger").cogroup(accounts.groupBy("ledger")).applyInPandas(fold, OUTCOMES)
+    spark = submitted.sparkSession
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = submitted.groupBy("batch_id").agg(F.count("*").alias("items"), F.max("now_ns").alias("now"))
+    large = sizes.where(F.col("items") > S.BATCH_LIMIT).select("batch_id", "items")
+    refused = submitted.join(large, "batch_id").select("batch_id", "idx", "transfer_id", "ledger", F.lit(False).alias("ok"), F.lit("BatchTooLarge").alias("error_code"), F.col("items").cast("string").alias("error_subject"))
+    clocks = _running_clock(sizes.where(F.col("items") <= S.BATCH_LIMIT).select("batch_id", "now"), state.clock_ns if state else 0)
+    rows = submitted.drop("now_ns").join(clocks, "batch_id")
+    keyed, held = partition_key(rows, accounts, state)
+    dealt = keyed.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("int"))
+    again = (F.col("bucket") + F.lit(0)).cast("int").alias("bucket")  # a column of its own, for the two sides of the cogroup
+    needed = dealt.select(again, F.explode(F.array("debit_account_id", "credit_account_id")).alias("account_id"))
+    known = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in HOLD_COLUMNS.items()) + ", bucket int")
+    if held is not None:
+        known = held.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("int")).drop("part")
+        needed = needed.union(known.select("bucket", F.explode(F.array("debit_account_id", "credit_account_id"))))
+    book = accounts.join(needed.distinct(), "account_id").select("bucket", "account_id", *ACCOUNT_FIELDS)
+    parts = known.select("bucket", F.lit(True).alias("is_hold"), *HOLD_COLUMNS, *(F.lit(None).cast("string" if c == "currency" else "long").alias(c) for c in ("account_id", *ACCOUNT_FIELDS) if c not in HOLD_COLUMNS))
+    book = parts.unionByName(book.withColumn("is_hold", F.lit(False)), allowMissingColumns=True)
+
+    def fold(_key: tuple, items: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        ledger = Ledger(_accounts(held[~held["is_hold"]]), ids=set(items.loc[items["known"], "transfer_id"]))
+        for h in held[held["is_hold"]].itertuples():
+            ledger.put(int(h.transfer_id), Hold(int(h.debit_account_id), int(h.credit_account_id), int(h.left), int(h.ledger), None if pd.isna(h.deadline_ns) else int(h.deadline_ns)))
+        return pd.DataFrame(list(run_batches(ledger, items.drop(columns=["bucket", "part", "known"]))), columns=[c.split()[0] for c in OUTCOMES.split(", ")])
+
+    return dealt.groupBy("bucket").cogroup(book.groupBy("bucket")).applyInPandas(fold, OUTCOMES).union(refused)
+
+
+def _running_clock(batches: DataFrame, least: int, width: int = 4096) -> DataFrame:
+    """batches (batch_id, now) with now_ns, the highest now so far: windows over runs of width batches, and what the runs before carry."""
+    run = F.floor(F.col("batch_id") / width)
+    order = W.partitionBy("run").orderBy("batch_id").rowsBetween(W.unboundedPreceding, 0)
+    carried = batches.groupBy(run.alias("run")).agg(F.max("now").alias("top")).select("run", F.max("top").over(W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    inside = batches.withColumn("run", run).withColumn("top", F.max("now").over(order))
+    return inside.join(carried, "run").select("batch_id", F.greatest("top", "carried", F.lit(least)).cast("long").alias("now_ns"))
+
+
+def partition_key(rows: DataFrame, accounts: DataFrame, state: State | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """rows with part, equal for rows whose decisions may depend on each other, and known (the id was accepted before); and the open holds with part."""
+    node = lambda kind, *c: F.xxhash64(F.lit(kind), *c)
+    settles = has(F.col("flags"), S.POST) | has(F.col("flags"), S.VOID)
+    links = rows.select("batch_id", "idx", has(F.col("flags"), S.LINKED).alias("linked"))
+    chained = chains(links).where("chain_size > 1").select("batch_id", "idx", F.col("chain_no").alias("chain"))
+    repeated = rows.groupBy("transfer_id").count().where("count > 1").select("transfer_id")
+    debits = rows.where(~settles).select(F.col("debit_account_id").alias("account_id"))
+    near = accounts.where((F.col("posted_credits") > 10**37) | (F.col("pending_credits") > 10**37)).select("account_id") if dict(accounts.dtypes)["posted_credits"].startswith("decimal") else None
+    out = rows.withColumn("known", F.lit(False))
+    if state is not None:
+        repeated = repeated.union(state.holds.select("transfer_id")).distinct()
+        debits = debits.union(state.holds.select("debit_account_id"))
+        out = rows.join(state.ids.select("transfer_id").distinct().withColumn("known", F.lit(True)), "transfer_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    debits = (debits if near is None else debits.union(near)).distinct()
+    contested = debits.select(F.col("account_id").alias("credit_account_id"), F.lit(True).alias("contested"))
+    out = out.join(contested, "credit_account_id", "left").join(repeated.withColumn("again", F.lit(True)), "transfer_id", "left").join(chained, ["batch_id", "idx"], "left")
+    own = F.when(settles, node("id", "transfer_id")).otherwise(node("account", "debit_account_id"))
+    more = F.array(
+        F.when(~settles & F.col("contested"), node("account", "credit_account_id")), F.when(F.col("again"), node("id", "transfer_id")), F.when(F.col("chain").isNotNull(), node("chain", "batch_id", "chain"))
+    )
+    out = out.withColumn("own", own).withColumn("more", F.array_compact(more)).select(*rows.columns, "known", "own", "more")
+    edges = out.select(F.col("own").alias("a"), F.explode("more").alias("b")).where("a != b")
+    held = None
+    if state is not None:
+        held = state.holds.select(*HOLD_COLUMNS).withColumn("own", node("account", "debit_account_id"))
+        both = held.join(contested, "credit_account_id", "left").select(F.col("own").alias("a"), F.array_compact(F.array(node("id", "transfer_id"), F.when(F.col("contested"), node("account", "credit_account_id")))).alias("more"))
+        edges = edges.union(both.select("a", F.explode("more").alias("b")).where("a != b"))
+    if edges.isEmpty():
+        return out.withColumn("part", F.col("own")).drop("own", "more"), held and held.withColumnRenamed("own", "part")
+    roots = components(edges).withColumnRenamed("node", "own")
+    labelled = lambda df: df.join(roots, "own", "left").withColumn("part", F.coalesce("root", "own")).drop("own", "root", "more")
+    return labelled(out), held and labelled(held)
 
 
 def admit_to_sinks(submitted: DataFrame, opening: Column, order: Column) -> DataFrame:

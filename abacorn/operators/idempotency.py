@@ -28,6 +28,14 @@ def first_success(items: DataFrame) -> DataFrame:
 
 
 def within_ttl(items: DataFrame, ttl_us: int) -> DataFrame:
-    """items (event_id, idempotency_key, ts_us) with fresh: no earlier use of the key within the time to live, counted from the use before."""
-    before = F.lag("ts_us").over(W.partitionBy("idempotency_key").orderBy("ts_us", "event_id"))
-    return items.withColumn("fresh", before.isNull() | (F.col("ts_us") - before > ttl_us))
+    """items (event_id, idempotency_key, ts_us) with fresh: no earlier use of the key is remembered. Rows without a key are always fresh.
+
+    A key is remembered from the use that was fresh until its time to live is over; a repeat in between doesn't prolong it.
+    """
+    keyed = items.where(F.col("idempotency_key").isNotNull())
+    uses = F.array_sort(F.collect_list(F.struct("ts_us", "event_id")))
+    start = F.struct(F.lit(None).cast("long").alias("since"), F.array().cast("array<struct<event_id:bigint,fresh:boolean>>").alias("out"))
+    again = lambda a, x: a["since"].isNotNull() & (x["ts_us"] - a["since"] <= ttl_us)
+    step = lambda a, x: F.struct(F.when(again(a, x), a["since"]).otherwise(x["ts_us"]).alias("since"), F.array_append(a["out"], F.struct(x["event_id"].cast("long").alias("event_id"), (~again(a, x)).alias("fresh"))).alias("out"))
+    judged = keyed.groupBy("idempotency_key").agg(uses.alias("uses")).select(F.explode(F.aggregate("uses", start, step)["out"]).alias("x")).select("x.*")
+    return items.join(judged, "event_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))

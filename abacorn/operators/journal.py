@@ -52,9 +52,20 @@ def legs(journal: DataFrame) -> DataFrame:
     return settled(journal).select("lsn", "transfer_id", "ledger", "ts_ns", F.explode(both).alias("leg")).select("lsn", "transfer_id", "ledger", "ts_ns", "leg.*")
 
 
-def balances(accounts: DataFrame, journal: DataFrame) -> DataFrame:
-    """The state of every account after the journal; balance and available are null where an invariant breaks."""
-    moved = legs(journal).groupBy("account_id").agg(*(F.sum(c).alias(f"m_{c}") for c in STATE))
+def released(journal: DataFrame, clock: int | None = None) -> DataFrame:
+    """(account_id, the columns of STATE): what the expiry of holds takes back, a row for each account of each expired hold."""
+    zero, rest = F.lit(0).cast("long"), -F.col("left")
+    both = F.array(*(F.struct(F.col(f"{s}_account_id").alias("account_id"), zero.alias("posted_debits"), zero.alias("posted_credits"), (rest if s == "debit" else zero).alias("pending_debits"), (rest if s == "credit" else zero).alias("pending_credits")) for s in ("debit", "credit")))
+    return holds(journal, clock).where("status = 'expired'").select(F.explode(both).alias("x")).select("x.*")
+
+
+def balances(accounts: DataFrame, journal: DataFrame, clock: int | None = None) -> DataFrame:
+    """The state of every account after the journal, without the holds that expired by the clock (default: that of the last record).
+
+    balance and available are null where an invariant breaks.
+    """
+    all_ = legs(journal).select("account_id", *STATE).unionByName(released(journal, clock))
+    moved = all_.groupBy("account_id").agg(*(F.sum(c).alias(f"m_{c}") for c in STATE))
     out = accounts.join(moved, "account_id", "left")
     out = out.withColumns({c: (F.col(c) + F.coalesce(F.col(f"m_{c}"), F.lit(0))).cast("long") for c in STATE})
     return with_balances(out.drop(*(f"m_{c}" for c in STATE)))
@@ -94,13 +105,19 @@ def latest(journal: DataFrame) -> DataFrame:
     """The latest version of each transfer: a post or void replaces its hold's row and inherits ledger and accounts that it leaves at zero."""
     named = settled(journal)
     inherit = lambda c, h: F.when(F.col(c) == 0, F.coalesce(h, F.col(c))).otherwise(F.col(c))
-    version = F.struct("lsn", F.col("debit").alias("debit_account_id"), F.col("credit").alias("credit_account_id"), "amount", inherit("ledger", F.max("ledger").over(W.partitionBy("transfer_id"))).alias("ledger"), "flags", "ts_ns")
+    version = F.struct("lsn", _named("debit").alias("debit_account_id"), _named("credit").alias("credit_account_id"), "amount", inherit("ledger", F.max("ledger").over(W.partitionBy("transfer_id"))).alias("ledger"), "flags", "ts_ns")
     return named.select("transfer_id", version.alias("v")).groupBy("transfer_id").agg(F.max_by("v", "v.lsn").alias("v")).select("transfer_id", "v.*")
 
 
+def _named(side: str) -> Column:
+    """The account that a record names on a side: its own, or its hold's where it leaves it at zero."""
+    return F.when(F.col(f"{side}_account_id") == 0, F.coalesce(F.col(f"hold_{side}"), F.lit(0).cast("long"))).otherwise(F.col(f"{side}_account_id"))
+
+
 def history(journal: DataFrame) -> DataFrame:
     """(account_id, position, lsn, transfer_id): what each account's history lists, in order of arrival; one leg where both sides are one account."""
-    once = legs(journal).select("account_id", "lsn", "transfer_id").distinct()
+    named = settled(journal).select("lsn", "transfer_id", F.explode(F.array_distinct(F.array(_named("debit"), _named("credit")))).alias("account_id"))
+    once = named.select("account_id", "lsn", "transfer_id").distinct()
     return once.withColumn("position", F.row_number().over(W.partitionBy("account_id").orderBy("lsn")))
 
 

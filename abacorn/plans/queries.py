@@ -39,7 +39,10 @@ s2 AS (SELECT *, CASE WHEN flags IN (2, 4) THEN hold_debit ELSE debit_account_id
   CASE WHEN flags = 1 THEN amount WHEN flags = 2 THEN -CASE WHEN amount = 0 THEN hold_amount ELSE amount END WHEN flags = 4 THEN -hold_amount ELSE 0 END AS pending FROM s1),
 legs AS (SELECT lsn, transfer_id, ledger, ts_ns, debit AS account_id, 'debit' AS side, posted AS posted_debits, 0 AS posted_credits, pending AS pending_debits, 0 AS pending_credits FROM s2
   UNION ALL SELECT lsn, transfer_id, ledger, ts_ns, credit, 'credit', 0, posted, 0, pending FROM s2),
-moved AS (SELECT account_id, sum(posted_debits) AS d, sum(posted_credits) AS c, sum(pending_debits) AS nd, sum(pending_credits) AS nc FROM legs GROUP BY 1),
+gone AS (SELECT max(hold_debit) AS d, max(hold_credit) AS c, sum(pending) AS rest FROM s2 WHERE hold_amount IS NOT NULL GROUP BY transfer_id
+  HAVING max(CASE WHEN flags = 1 AND timeout_ns > 0 THEN ts_ns + timeout_ns END) <= (SELECT max(ts_ns) FROM s1) AND sum(pending) > 0),
+changes AS (SELECT account_id, posted_debits, posted_credits, pending_debits, pending_credits FROM legs UNION ALL SELECT d, 0, 0, -rest, 0 FROM gone UNION ALL SELECT c, 0, 0, 0, -rest FROM gone),
+moved AS (SELECT account_id, sum(posted_debits) AS d, sum(posted_credits) AS c, sum(pending_debits) AS nd, sum(pending_credits) AS nc FROM changes GROUP BY 1),
 state AS (SELECT a.account_id, a.ledger, a.flags, a.posted_credits AS opening, CAST(coalesce(d, 0) AS BIGINT) AS posted_debits, CAST(a.posted_credits + coalesce(c, 0) AS BIGINT) AS posted_credits,
   CAST(coalesce(nd, 0) AS BIGINT) AS pending_debits, CAST(coalesce(nc, 0) AS BIGINT) AS pending_credits FROM f_accounts a LEFT JOIN moved USING (account_id)),
 full_state AS (SELECT *, CASE WHEN posted_credits >= posted_debits THEN posted_credits - posted_debits END AS balance,
@@ -178,17 +181,17 @@ def fn26_details(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    ", n AS (SELECT c_custkey // 2 AS account_id, c_custkey // 100 AS batch_id, CAST(c_custkey % 100 AS INTEGER) AS idx, CASE WHEN c_custkey % 11 = 0 THEN 10 ELSE 0 END AS posted_debits, 5 AS posted_credits FROM customer), "
+    ", n AS (SELECT (SELECT max(c_custkey) FROM customer) // 2 + c_custkey // 2 AS account_id, c_custkey // 100 AS batch_id, CAST(c_custkey % 100 AS INTEGER) AS idx, CASE WHEN c_custkey % 11 = 0 THEN 10 ELSE 0 END AS posted_debits, 5 AS posted_credits FROM customer), "
     "k AS (SELECT *, row_number() OVER (PARTITION BY account_id, posted_debits <= posted_credits ORDER BY batch_id, idx) AS nth FROM n) "
-    "SELECT k.batch_id, k.idx, k.account_id, CASE WHEN posted_debits > posted_credits THEN 'InvariantViolation' WHEN nth > 1 OR (k.account_id < 20) THEN 'DuplicateAccountID' END AS error_code FROM k"
+    "SELECT k.batch_id, k.idx, k.account_id, CASE WHEN k.posted_debits > k.posted_credits THEN 'InvariantViolation' WHEN nth > 1 OR f.account_id IS NOT NULL THEN 'DuplicateAccountID' END AS error_code FROM k LEFT JOIN f_accounts f ON f.account_id = k.account_id"
 )
 def adm19_account_create(spark: SparkSession, d: str) -> DataFrame:
-    """ADM-19, ADM-20, ST-01, ST-23: accounts that may be created."""
+    """ADM-19, ADM-20, ST-01, ST-23: accounts that may be created, half of them with ids of existing ones. The joined maximum is one row."""
     c = X.table(spark, d, "customer")
     key = F.col("c_custkey")
-    new = c.select(F.floor(key / 2).alias("account_id"), F.floor(key / 100).alias("batch_id"), (key % 100).cast("int").alias("idx"), F.when(key % 11 == 0, 10).otherwise(0).alias("posted_debits"), F.lit(5).alias("posted_credits"))
-    existing = X.accounts(spark, d).where("account_id < 20")
-    return admission.create_errors(new, existing).select("batch_id", "idx", "account_id", "error_code")
+    top = c.agg(F.max("c_custkey").alias("top"))
+    new = c.crossJoin(F.broadcast(top)).select((F.floor(F.col("top") / 2) + F.floor(key / 2)).alias("account_id"), F.floor(key / 100).alias("batch_id"), (key % 100).cast("int").alias("idx"), F.when(key % 11 == 0, 10).otherwise(0).alias("posted_debits"), F.lit(5).alias("posted_credits"))
+    return admission.create_errors(new, X.accounts(spark, d)).select("batch_id", "idx", "account_id", "error_code")
 
 
 @query("SELECT event_id // 9000 AS batch_id, count(*) AS items, CASE WHEN count(*) > 8192 THEN 'BatchTooLarge' END AS error_code FROM events GROUP BY 1")
@@ -236,6 +239,33 @@ def st12_fold_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return admission.admit_batches(t, X.accounts(spark, d))
 
 
+#: Accounts (id, credits, ledger, flags, currency), submitted rows (batch, place, id, debit, credit, amount, ledger, flags, timeout, now) and their outcomes.
+GOLDEN_ACCOUNTS = [
+    (1, 100, 0, 0, "USD"), (2, 0, 0, 0, "USD"), (3, 0, 0, 0, "USD"), (11, 1000, 0, 0, "USD"), (12, 0, 0, 0, "USD"), (13, 0, 0, 0, "EUR"), (21, 1000, 0, 0, "USD"), (22, 0, 0, 0, "USD"), (31, 1000, 0, 0, "USD"), (32, 0, 0, 0, "USD"),
+    (41, 1000, 0, 0, "USD"), (42, 0, 0, 0, "USD"), (43, 0, 0, 1, "USD"), (51, 1000, 0, 0, "USD"), (52, 1000, 0, 0, "USD"), (53, 1000, 0, 0, "USD"), (61, 5000, 100, 0, "USD"), (62, 0, 100, 0, "USD"), (63, 8000, 200, 0, "USD"), (64, 0, 200, 0, "USD"),
+]
+GOLDEN = [
+    ((1, 0, 101, 1, 2, 80, 0, 0, 0, 1), None), ((1, 1, 102, 1, 1, 1, 0, 0, 0, 1), "SelfTransfer"), ((1, 2, 103, 1, 3, 30, 0, 0, 0, 1), "InsufficientFunds"),
+    ((2, 0, 111, 11, 12, 100, 0, 0, 0, 2), None), ((2, 1, 112, 11, 12, 0, 0, 0, 0, 2), "ZeroAmount"), ((2, 2, 113, 11, 12, 10000, 0, 0, 0, 2), "InsufficientFunds"), ((2, 3, 114, 11, 12, 50, 0, 0, 0, 2), None), ((2, 4, 115, 11, 999, 10, 0, 0, 0, 2), "AccountNotFound"), ((2, 5, 116, 11, 13, 10, 0, 0, 0, 2), "CurrencyMismatch"),
+    ((3, 0, 121, 21, 22, 400, 0, 1, 0, 3), None), ((4, 0, 122, 21, 22, 700, 0, 1, 0, 4), "InsufficientFunds"), ((5, 0, 121, 0, 0, 250, 0, 2, 0, 5), None), ((6, 0, 121, 0, 0, 200, 0, 2, 0, 6), "OverTransfer"), ((7, 0, 121, 0, 0, 0, 0, 2, 0, 7), None),
+    ((8, 0, 131, 31, 32, 500, 0, 1, 0, 8), None), ((9, 0, 131, 0, 0, 0, 0, 4, 0, 9), None), ((10, 0, 131, 0, 0, 0, 0, 4, 0, 10), "PendingNotFound"), ((11, 0, 132, 31, 32, 350, 0, 1, 1000, 11), None), ((12, 0, 133, 31, 32, 10, 0, 0, 0, 1011), None), ((13, 0, 132, 0, 0, 0, 0, 2, 0, 1012), "PendingNotFound"),
+    ((14, 0, 141, 41, 42, 300, 0, 8, 0, 1013), None), ((14, 1, 142, 42, 41, 300, 0, 0, 0, 1013), None), ((15, 0, 143, 41, 42, 500, 0, 8, 0, 1014), "LinkedChainFailed"), ((15, 1, 144, 42, 43, 500, 0, 0, 0, 1014), "AccountFrozen"), ((16, 0, 145, 41, 42, 100, 0, 8, 0, 1015), "LinkedChainOpen"),
+    ((17, 0, 151, 51, 52, 50, 0, 0, 0, 1016), None), ((17, 1, 152, 52, 53, 100, 0, 8, 0, 1016), "LinkedChainFailed"), ((17, 2, 153, 53, 51, 5000, 0, 0, 0, 1016), "InsufficientFunds"), ((17, 3, 154, 53, 52, 30, 0, 0, 0, 1016), None),
+    ((18, 0, 161, 61, 63, 100, 100, 0, 0, 1017), "LedgerMismatch"), ((18, 1, 162, 61, 62, 100, 200, 0, 0, 1017), "LedgerMismatch"), ((18, 2, 163, 61, 62, 1500, 100, 0, 0, 1017), None), ((18, 3, 164, 63, 64, 3200, 200, 0, 0, 1017), None),
+    ((19, 0, 163, 63, 64, 1, 200, 0, 0, 1018), "DuplicateTransferID"), ((19, 1, 165, 61, 62, 100, 100, 8, 0, 1018), "LinkedChainFailed"), ((19, 2, 166, 63, 64, 99999, 200, 0, 0, 1018), "InsufficientFunds"), ((20, 0, 167, 61, 62, 5, 100, 1, 0, 1019), None), ((21, 0, 167, 0, 0, 0, 200, 2, 0, 1020), "LedgerMismatch"), ((22, 0, 167, 0, 0, 0, 0, 2, 0, 1021), None),
+]
+_GOLDEN_SQL = ", ".join(f"({r[0]}, {r[1]}, {r[2]}, {'NULL' if e is None else repr(e)})" for r, e in GOLDEN)
+
+
+@query(f" SELECT CAST(batch_id AS BIGINT) AS batch_id, CAST(idx AS INTEGER) AS idx, CAST(transfer_id AS BIGINT) AS transfer_id, error_code FROM (VALUES {_GOLDEN_SQL}) v(batch_id, idx, transfer_id, error_code)")
+def st12_golden_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """ADM-03..18, ST-09..13: outcomes that are known by heart, of funds, holds, expiry, chains, tenants, repeated ids and posts that inherit their ledger."""
+    names = "batch_id long, idx int, transfer_id long, debit_account_id long, credit_account_id long, amount long, ledger long, flags long, timeout_ns long, now_ns long"
+    zero = F.lit(0).cast("long")
+    accounts = spark.createDataFrame(GOLDEN_ACCOUNTS, "account_id long, posted_credits long, ledger long, flags long, currency string").withColumns({"posted_debits": zero, "pending_debits": zero, "pending_credits": zero})
+    return admission.admit_batches(spark.createDataFrame([r for r, _ in GOLDEN], names), accounts).select("batch_id", "idx", "transfer_id", "error_code")
+
+
 _CHAINS = """, c1 AS (SELECT *, CASE WHEN coalesce(lag(linked) OVER (PARTITION BY batch_id ORDER BY idx), false) THEN 0 ELSE 1 END AS s FROM f_commands),
 c2 AS (SELECT *, sum(s) OVER (PARTITION BY batch_id ORDER BY idx) AS chain_no FROM c1),
 c3 AS (SELECT *, count(*) OVER c AS chain_size, arg_max(linked, idx) OVER c AS chain_open, CASE WHEN amount % 10 = 0 THEN 'ZeroAmount' END AS error_code, max(idx) OVER c AS last FROM c2 WINDOW c AS (PARTITION BY batch_id, chain_no)),
@@ -269,10 +299,13 @@ def st17_first_success(spark: SparkSession, d: str) -> DataFrame:
     return idempotency.first_success(X.commands(spark, d).withColumn("ok", F.col("amount") % 10 != 0)).select("event_id", "ok", "original_id", "replayed")
 
 
-@query(", t AS (SELECT event_id, idempotency_key, event_id * 1000000 AS ts_us FROM f_commands) SELECT event_id, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY idempotency_key ORDER BY ts_us) > 900000000, true) AS fresh FROM t")
+@query(", t AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE user_id % 40 END AS k, event_id * 1000000 AS ts_us FROM f_commands), l AS (SELECT k, list({'e': event_id, 't': ts_us} ORDER BY ts_us) AS us FROM t WHERE k IS NOT NULL GROUP BY 1), "
+    "r AS (SELECT list_reduce(us, lambda a, x: {'since': CASE WHEN x.t - a.since <= 900000000 THEN a.since ELSE x.t END, 'seen': CASE WHEN x.t - a.since <= 900000000 THEN list_append(a.seen, x.e) ELSE a.seen END, 'e': x.e, 't': x.t}, {'since': CAST(-1000000000 AS BIGINT), 'seen': CAST([] AS BIGINT[]), 'e': CAST(0 AS BIGINT), 't': CAST(0 AS BIGINT)}) AS o FROM (SELECT list_transform(us, lambda x: {'since': CAST(0 AS BIGINT), 'seen': CAST([] AS BIGINT[]), 'e': x.e, 't': x.t}) AS us FROM l)), s AS (SELECT unnest(o.seen) AS event_id FROM r) "
+    "SELECT event_id, event_id NOT IN (SELECT event_id FROM s) AS fresh FROM t")
 def st18_key_ttl(spark: SparkSession, d: str) -> DataFrame:
-    """ST-18: keys within their time to live."""
-    return idempotency.within_ttl(X.commands(spark, d).withColumn("ts_us", F.col("event_id") * 1_000_000), S.KEY_TTL_S * 1_000_000).select("event_id", "fresh")
+    """ST-18: keys within their time to live from the use that committed them; rows without a key are always fresh."""
+    key = F.when(F.col("event_id") % 11 != 0, F.col("user_id") % 40)
+    return idempotency.within_ttl(X.commands(spark, d).withColumns({"ts_us": F.col("event_id") * 1_000_000, "idempotency_key": key}), S.KEY_TTL_S * 1_000_000).select("event_id", "fresh")
 
 
 @query(f"{HOLDS} SELECT * FROM holds")

@@ -83,11 +83,11 @@ class SnapshotDataSource(DataSource):
 
 
 def write(accounts: DataFrame, holds: DataFrame, folder: str, lsn: int, clock_ns: int) -> str:
-    """A Parquet snapshot: two tables, then the manifest, which makes it count."""
+    """A Parquet snapshot: two tables, then the manifest, which makes it count; what a crash left behind without one is written over."""
     spark, path = accounts.sparkSession, f"{folder}/snapshot-{lsn:020d}"
-    accounts.write.parquet(f"{path}/accounts")
-    holds.write.parquet(f"{path}/holds")
-    spark.createDataFrame([(json.dumps({"lsn": lsn, "clock_ns": clock_ns}),)], "value string").coalesce(1).write.text(f"{path}/manifest")
+    accounts.write.mode("overwrite").parquet(f"{path}/accounts")
+    holds.write.mode("overwrite").parquet(f"{path}/holds")
+    spark.createDataFrame([(json.dumps({"lsn": lsn, "clock_ns": clock_ns}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return path
 
 

@@ -31,7 +31,7 @@ def segments(folder: str) -> list[tuple[int, str]]:
 
 
 def frames(data: bytes, segment: int) -> Iterator[tuple]:
-    """Rows of SCHEMA; a frame that passes the end is torn and ends the segment, fewer bytes than a header are ignored."""
+    """Rows of SCHEMA; a frame that passes the end is torn and ends the segment, and so are fewer bytes than a header (with lsn and type 0)."""
     at = 0
     while at + HEADER <= len(data):
         lsn, kind, length = struct.unpack_from(">QBI", data, at)
@@ -42,6 +42,8 @@ def frames(data: bytes, segment: int) -> Iterator[tuple]:
         ok = zlib.crc32(data[at:end]) == struct.unpack_from(">I", data, end)[0]
         yield segment, at, lsn, kind, data[at + HEADER : end], ok, False
         at = end + CHECKSUM
+    if at < len(data):
+        yield segment, at, 0, 0, None, False, True
 
 
 def encode(lsn: int, kind: int, payload: bytes) -> bytes:
@@ -140,9 +142,9 @@ class WalDataSource(DataSource):
 def committed(rows: DataFrame) -> DataFrame:
     """The records of fully committed batches, with commit_lsn: a batch is open across segments, and the first break ends the journal.
 
-    A batch counts if as many sound records as its commit says stand between it and the commit before.
+    Stray bytes at a segment's end and records of type 0 are breaks. A batch counts if as many sound records as its commit says stand between it and the commit before.
     """
-    sound = F.col("crc_ok") & ~F.col("torn")
+    sound = F.col("crc_ok") & ~F.col("torn") & (F.col("type") != 0)
     broken = rows.where(~sound).agg(F.min(F.struct("segment", "offset")).alias("broken"))
     prefix = rows.crossJoin(F.broadcast(broken)).where(F.col("broken").isNull() | (F.struct("segment", "offset") < F.col("broken"))).drop("broken")  # one row
     commits = prefix.where(F.col("type") == S.COMMIT).select(F.col("lsn").alias("commit_lsn"), word(F.col("payload"), 8, 4).cast("long").alias("expected"))

@@ -38,8 +38,10 @@ def admit_stream(submitted: DataFrame) -> DataFrame:
 
 
 def fresh_keys(items: DataFrame, ttl: str = "15 minutes") -> DataFrame:
-    """The first use of every idempotency key within the watermark, by event time."""
-    return items.withWatermark("event_time", ttl).dropDuplicatesWithinWatermark(["idempotency_key"])
+    """The first use of every idempotency key within the watermark, by event time; rows without a key all stay."""
+    marked = items.withWatermark("event_time", ttl)
+    first = marked.where(F.col("idempotency_key").isNotNull()).dropDuplicatesWithinWatermark(["idempotency_key"])
+    return first.unionByName(marked.where(F.col("idempotency_key").isNull()))
 
 
 def append_once(target: str, on_batch: Callable[[DataFrame, int], Any] | None = None) -> Callable[[DataFrame, int], None]:

@@ -133,3 +133,54 @@ def test_state_is_small():
     from abacorn.operators.fold import Ledger
 
     assert pickle.loads(pickle.dumps(Ledger())) == Ledger()
+
+
+def test_admission_goes_on_from_a_restored_journal(spark):
+    """Batches folded at once, and folded in two runs with the journal of the first replayed between them."""
+    names = "batch_id long, idx int, transfer_id long, debit_account_id long, credit_account_id long, amount long, ledger long, flags long, timeout_ns long, now_ns long"
+    zero = F.lit(0).cast("long")
+    accounts = spark.createDataFrame([(1, 1000), (2, 0), (3, 500)], "account_id long, posted_credits long").withColumns({"ledger": zero, "flags": zero, "currency": F.lit("USD"), "posted_debits": zero, "pending_debits": zero, "pending_credits": zero})
+    first = [(1, 0, 10, 1, 2, 400, 0, 1, 100, 5), (1, 1, 11, 1, 2, 300, 0, 1, 0, 5), (2, 0, 11, 0, 0, 100, 0, 2, 0, 6), (2, 1, 12, 3, 2, 50, 0, 0, 0, 6)]
+    then = [(3, 0, 13, 1, 2, 900, 0, 1, 0, 7), (3, 1, 11, 0, 0, 300, 0, 2, 0, 7), (3, 2, 11, 0, 0, 200, 0, 2, 0, 7), (4, 0, 12, 3, 2, 1, 0, 0, 0, 200), (4, 1, 10, 0, 0, 0, 0, 2, 0, 200), (4, 2, 14, 1, 2, 700, 0, 1, 0, 200)]
+    outcomes = lambda df: sorted((r["batch_id"], r["idx"], r["error_code"]) for r in df.collect())
+    whole = outcomes(admission.admit_batches(spark.createDataFrame(first + then, names), accounts))
+    assert [e for *_, e in whole] == [None] * 4 + ["InsufficientFunds", "OverTransfer", None, "DuplicateTransferID", "PendingNotFound", None]
+    rows = [(i + 1, r[2], r[3], r[4], r[5], r[6], r[7], r[9], r[8], r[0]) for i, r in enumerate(first)]
+    journal_ = spark.createDataFrame(rows, "lsn long, transfer_id long, debit_account_id long, credit_account_id long, amount long, ledger long, flags long, ts_ns long, timeout_ns long, batch_id long")
+    after, state = admission.restore(accounts, journal_)
+    assert state.clock_ns == 6 and {r["transfer_id"]: r["left"] for r in state.holds.collect()} == {10: 400, 11: 200}
+    assert outcomes(admission.admit_batches(spark.createDataFrame(then, names), after, state)) == [x for x in whole if x[0] > 2]
+
+
+def test_too_large_batches_and_no_rows(spark):
+    accounts = Q.X.accounts(spark, DATA)
+    rows = spark.range(8193).selectExpr("1L AS batch_id", "CAST(id AS INT) AS idx", "id AS transfer_id", "1L AS debit_account_id", "2L AS credit_account_id", "1L AS amount", "0L AS ledger", "0L AS flags", "0L AS timeout_ns", "1L AS now_ns")
+    got = admission.admit_batches(rows.withColumn("ledger", F.col("transfer_id") % 3), accounts)
+    assert {(r["error_code"], r["count"]) for r in got.groupBy("error_code").count().collect()} == {("BatchTooLarge", 8193)}
+    assert admission.admit_batches(rows.limit(0), accounts).count() == 0
+
+
+def test_key_memory_and_keyless_rows(spark, tmp_path):
+    from abacorn.operators import idempotency
+
+    minute = 60_000_000
+    rows = [(1, "k", 0), (2, "k", 10 * minute), (3, "k", 20 * minute), (4, None, 0), (5, None, 1), (6, "j", 0), (7, "j", 15 * minute), (8, "j", 15 * minute + 1)]
+    got = idempotency.within_ttl(spark.createDataFrame(rows, "event_id long, idempotency_key string, ts_us long"), 15 * minute).collect()
+    assert {r["event_id"]: r["fresh"] for r in got} == {1: True, 2: False, 3: True, 4: True, 5: True, 6: True, 7: False, 8: True}
+    spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, "a")], "event_id long, idempotency_key string").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("event_id long, idempotency_key string").parquet(str(tmp_path / "in")).withColumn("event_time", F.timestamp_seconds(F.lit(1_700_000_000)))
+    run = fresh_keys(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert run.exception() is None
+    got = sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got[:2] == [1, 2] and len(got) == 3
+
+
+def test_views_keep_submitted_accounts(spark):
+    from abacorn.operators import journal
+
+    rows = [(1, 7, 1, 2, 50, 0, 1, 1, 0, 1), (2, 7, 9, 2, 20, 0, 2, 2, 0, 2), (3, 7, 0, 0, 0, 0, 2, 3, 0, 3)]
+    j = spark.createDataFrame(rows, "lsn long, transfer_id long, debit_account_id long, credit_account_id long, amount long, ledger long, flags long, ts_ns long, timeout_ns long, batch_id long")
+    assert sorted((r["account_id"], r["lsn"]) for r in journal.history(j).collect()) == [(1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (9, 2)]
+    assert [(r["lsn"], r["debit_account_id"]) for r in journal.latest(j.where("lsn < 3")).collect()] == [(2, 9)] and journal.latest(j).first()["debit_account_id"] == 1
+    assert [r["transfer_id"] for r in journal.page(j, 2, None, 0).collect()] == [7, 7, 7] and journal.page(j, 2, 12345, 2).count() == 2
