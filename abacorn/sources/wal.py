@@ -77,7 +77,8 @@ class _Segment(InputPartition):
 def _read(part: _Segment) -> Iterator[tuple]:
     with open(part.path, "rb") as file:
         for row in frames(file.read(), part.number):
-            if row[2] > part.above and (part.upto is None or row[2] <= part.upto):
+            # a torn end has no LSN to go by, and a reader of the whole log must see it
+            if row[2] > part.above and (part.upto is None or row[2] <= part.upto) or row[6] and part.upto is None:
                 yield row
 
 
