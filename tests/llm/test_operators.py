@@ -355,6 +355,7 @@ def test_page_icons_and_formulas():
 def test_hostile_pages_take_linear_time(spark):
     import time
 
+    pages.extract_all(["the tree is trained by now"])
     for bad in ("<a ", "</ ", "<svg ", "<a '", '<p x="', "<!", "<script ", "<svg><text "):
         start = time.process_time()
         pages.extract_all([bad * 16_000])
