@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abacorn import schema as S
@@ -86,3 +86,13 @@ def account_error(flags: Column, account_id: Column, side_frozen: str = "Account
 def detail(code: Column, subject: Column) -> Column:
     """The detail text of an error about subject."""
     return F.replace(S.lookup(code, 3), F.lit("%s"), F.coalesce(subject.cast("string"), F.lit("")))
+
+
+def transfer_view(t: DataFrame) -> DataFrame:
+    """What a client sees of decoded transfers: lowercase hex of ids and key (zeros for none), the amount as text, user data as hex or empty."""
+    shown = lambda c: F.lower(F.hex(c)).alias(c)
+    key = F.coalesce(F.lower(F.hex("idempotency_key")), F.lit("0" * 64)).alias("idempotency_key")
+    return t.select(
+        shown("transfer_id").alias("id"), shown("debit_account_id"), shown("credit_account_id"), F.col("amount").cast("string").alias("amount"), key,
+        "flags", F.col("timeout_ns").alias("timeout"), F.col("ts_ns").alias("created_at"), "ledger", "code", show_user_data(F.col("user_data")).alias("user_data"),
+    )

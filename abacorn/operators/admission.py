@@ -204,6 +204,11 @@ def admit_to_sinks(submitted: DataFrame, opening: Column, order: Column) -> Data
     return grouped.select("debit_account_id", F.aggregate("rows", start, lambda a, x: step(a, x)).alias("r")).select("debit_account_id", F.col("r.left").alias("left"), F.col("r.ids").alias("accepted"))
 
 
+def role_error(is_follower: Column) -> Column:
+    """A follower takes no writes, whatever they are."""
+    return F.when(is_follower, "NotLeader")
+
+
 def dry_run(submitted: DataFrame, state: DataFrame) -> DataFrame:
     """submitted with the error_code that each row would get alone against the current state; nothing is kept, so no order matters.
 
@@ -218,8 +223,17 @@ def dry_run(submitted: DataFrame, state: DataFrame) -> DataFrame:
     return out.select(*submitted.columns, "error_code")
 
 
-def batch_clock(batches: DataFrame) -> DataFrame:
-    """batches (batch_id, now_ns) with clock_ns = max(now, last clock + 1): the highest of now less its place so far, plus the place. A row for each batch."""
-    order = W.orderBy("batch_id")
-    placed = batches.withColumn("place", F.row_number().over(order))
-    return placed.withColumn("clock_ns", F.max(F.col("now_ns") - F.col("place")).over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("place")).drop("place")
+def batch_clock(batches: DataFrame, width: int = 4096) -> DataFrame:
+    """batches (batch_id, now_ns) with clock_ns = max(now, last clock + 1): the highest of now less its place so far, plus the place. A row for each batch.
+
+    Places and maxima are windows over runs of width batch ids, and what the runs before carry; a window without a partition sees one row a run.
+    """
+    numbered = batches.withColumn("run", F.floor(F.col("batch_id") / width))
+    inside, runs = W.partitionBy("run").orderBy("batch_id"), W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    counts = numbered.groupBy("run").agg(F.count("*").alias("n")).select("run", F.coalesce(F.sum("n").over(runs), F.lit(0)).alias("places"))
+    placed = numbered.join(counts, "run").withColumn("place", F.col("places") + F.row_number().over(inside))
+    least = F.col("now_ns") - F.col("place")
+    tops = placed.groupBy("run").agg(F.max(least).alias("top")).select("run", F.max("top").over(runs).alias("top"))
+    upto = F.max(least).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    clocked = placed.withColumn("upto", upto).join(tops, "run")
+    return clocked.withColumn("clock_ns", F.greatest("upto", "top") + F.col("place")).select(*batches.columns, "clock_ns")

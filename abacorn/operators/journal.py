@@ -17,15 +17,17 @@ STATE = ("posted_debits", "posted_credits", "pending_debits", "pending_credits")
 
 
 def settled(journal: DataFrame, clock: Column | None = None) -> DataFrame:
-    """Every record with its hold and what it moves: pending and posted change per record, one pass over the records of each id.
+    """Every record with its hold and what it moves: pending and posted change per record, one pass over the records of each hold.
 
     A post of amount 0 settles all that is left, a void releases it. clock: holds whose deadline is at or before it are released too.
+    Plain records need no hold and take no part in the pass.
     """
     by_id = W.partitionBy("transfer_id")
     before = by_id.orderBy("lsn").rowsBetween(W.unboundedPreceding, -1)
     hold, post, void = (has(F.col("flags"), b) for b in (S.PENDING, S.POST, S.VOID))
     whole = lambda c: F.max(F.when(hold, F.col(c))).over(by_id)
-    out = journal.withColumns({"hold_amount": whole("amount"), "hold_debit": whole("debit_account_id"), "hold_credit": whole("credit_account_id"), "hold_deadline": F.max(F.when(hold, deadline(F.col("ts_ns"), F.col("timeout_ns")))).over(by_id)})
+    out = journal.where(hold | post | void)
+    out = out.withColumns({"hold_amount": whole("amount"), "hold_debit": whole("debit_account_id"), "hold_credit": whole("credit_account_id"), "hold_deadline": F.max(F.when(hold, deadline(F.col("ts_ns"), F.col("timeout_ns")))).over(by_id)})
     # a post of 0, or a void, leaves nothing to a later record
     spent = F.coalesce(F.sum(F.when(post, F.col("amount"))).over(before), F.lit(0))
     ended = F.coalesce(F.max(F.when(void | (post & (F.col("amount") == 0)), 1)).over(before), F.lit(0)) == 1
@@ -34,12 +36,14 @@ def settled(journal: DataFrame, clock: Column | None = None) -> DataFrame:
     moved = F.when(post, F.when(F.col("amount") == 0, F.col("left_before")).otherwise(F.col("amount")))
     out = out.withColumns(
         {
-            "posted": F.when(post, moved).when(hold | void, 0).otherwise(F.col("amount")).cast("long"),
-            "pending": F.when(hold, F.col("amount")).when(post, -moved).when(void, -F.col("left_before")).otherwise(0).cast("long"),
-            "debit": F.when(post | void, F.col("hold_debit")).otherwise(F.col("debit_account_id")),
-            "credit": F.when(post | void, F.col("hold_credit")).otherwise(F.col("credit_account_id")),
+            "posted": F.when(post, moved).otherwise(0).cast("long"),
+            "pending": F.when(hold, F.col("amount")).when(post, -moved).otherwise(-F.col("left_before")).cast("long"),
+            "debit": F.when(hold, F.col("debit_account_id")).otherwise(F.col("hold_debit")),
+            "credit": F.when(hold, F.col("credit_account_id")).otherwise(F.col("hold_credit")),
         }
     )
+    plain = journal.where(~(hold | post | void)).withColumns({"posted": F.col("amount").cast("long"), "pending": F.lit(0).cast("long"), "debit": F.col("debit_account_id"), "credit": F.col("credit_account_id")})
+    out = out.unionByName(plain, allowMissingColumns=True)
     return out if clock is None else out.withColumn("expired", hold & (F.col("hold_deadline") <= clock))
 
 
@@ -52,25 +56,28 @@ def legs(journal: DataFrame) -> DataFrame:
     return settled(journal).select("lsn", "transfer_id", "ledger", "ts_ns", F.explode(both).alias("leg")).select("lsn", "transfer_id", "ledger", "ts_ns", "leg.*")
 
 
-def released(journal: DataFrame, clock: int | None = None) -> DataFrame:
-    """(account_id, the columns of STATE): what the expiry of holds takes back, a row for each account of each expired hold."""
-    zero, rest = F.lit(0).cast("long"), -F.col("left")
-    both = F.array(*(F.struct(F.col(f"{s}_account_id").alias("account_id"), zero.alias("posted_debits"), zero.alias("posted_credits"), (rest if s == "debit" else zero).alias("pending_debits"), (rest if s == "credit" else zero).alias("pending_credits")) for s in ("debit", "credit")))
-    return holds(journal, clock).where("status = 'expired'").select(F.explode(both).alias("x")).select("x.*")
-
-
 def balances(accounts: DataFrame, journal: DataFrame, clock: int | None = None) -> DataFrame:
     """The state of every account after the journal, without the holds that expired by the clock (default: that of the last record).
 
+    A sum over plain records, and over what the holds' posts moved and their open rests: one aggregation by hold, one by account, no window.
     balance and available are null where an invariant breaks.
     """
-    all_ = legs(journal).select("account_id", *STATE).unionByName(released(journal, clock))
-    moved = all_.groupBy("account_id").agg(*(F.sum(c).alias(f"m_{c}") for c in STATE))
+    zero, open_ = F.lit(0).cast("long"), F.when(F.col("status") == "open", F.col("left")).otherwise(0).cast("long")
+    plain = journal.where(F.col("flags").bitwiseAND(F.lit(S.PENDING | S.POST | S.VOID)) == 0)
+    moves = plain.select("debit_account_id", "credit_account_id", F.col("amount").cast("long").alias("posted"), zero.alias("pending"))
+    moves = moves.unionByName(_holds(journal, clock).select("debit_account_id", "credit_account_id", "posted", open_.alias("pending")))
+    debit = F.struct(F.col("debit_account_id").alias("account_id"), *_state(F.col("posted"), zero, F.col("pending"), zero))
+    credit = F.struct(F.col("credit_account_id").alias("account_id"), *_state(zero, F.col("posted"), zero, F.col("pending")))
+    moved = moves.select(F.explode(F.array(debit, credit)).alias("x")).groupBy("x.account_id").agg(*(F.sum(f"x.{c}").alias(f"m_{c}") for c in STATE))
     out = accounts.join(moved, "account_id", "left")
     out = out.withColumns({c: (F.col(c) + F.coalesce(F.col(f"m_{c}"), F.lit(0))).cast("long") for c in STATE})
     return with_balances(out.drop(*(f"m_{c}" for c in STATE)))
 
 
+def _state(*values: Column) -> list[Column]:
+    return [v.alias(c) for v, c in zip(values, STATE)]
+
+
 def with_balances(accounts: DataFrame) -> DataFrame:
     pd, pc, nd, nc = map(F.col, STATE)
     error = F.when(balance(pd, pc).isNull() | available(pd, pc, nd, nc).isNull(), "InvariantViolation")
@@ -79,6 +86,11 @@ def with_balances(accounts: DataFrame) -> DataFrame:
 
 def holds(journal: DataFrame, clock: int | None = None) -> DataFrame:
     """Every hold with what is left of it and its status as of a clock (default: that of the last record)."""
+    return _holds(journal, clock).drop("posted")
+
+
+def _holds(journal: DataFrame, clock: int | None) -> DataFrame:
+    """The columns of holds, and posted, what the posts of a hold moved in all."""
     hold, post, void = (has(F.col("flags"), b) for b in (S.PENDING, S.POST, S.VOID))
     as_of = F.lit(clock) if clock is not None else F.max("ts_ns")
     each = journal.where(hold | post | void).groupBy("transfer_id").agg(
@@ -87,18 +99,32 @@ def holds(journal: DataFrame, clock: int | None = None) -> DataFrame:
         F.sum(F.when(post, F.col("amount")).otherwise(0)).alias("part_posted"), F.max(F.when(post & (F.col("amount") == 0), 1).otherwise(0)).alias("all_posted"), F.max(F.when(void, 1).otherwise(0)).alias("voided"),
     )
     last = journal.agg(as_of.alias("clock_ns"))
-    left = F.when((F.col("all_posted") == 1) | (F.col("voided") == 1), 0).otherwise(F.col("hold_amount") - F.col("part_posted")).cast("long")
-    out = each.withColumn("left", left).crossJoin(F.broadcast(last))  # one row
+    whole = F.col("all_posted") == 1
+    left = F.when(whole | (F.col("voided") == 1), 0).otherwise(F.col("hold_amount") - F.col("part_posted")).cast("long")
+    out = each.withColumns({"left": left, "posted": F.when(whole, F.col("hold_amount")).otherwise(F.col("part_posted")).cast("long")}).crossJoin(F.broadcast(last))  # one row
     status = F.when(F.col("voided") == 1, "voided").when(F.col("left") == 0, "posted").when(F.col("deadline_ns") <= F.col("clock_ns"), "expired").otherwise("open")
-    return out.withColumn("status", status).select("transfer_id", "debit_account_id", "credit_account_id", "hold_amount", "left", "deadline_ns", "status")
+    return out.withColumn("status", status).select("transfer_id", "debit_account_id", "credit_account_id", "hold_amount", "left", "deadline_ns", "status", "posted")
+
+
+#: LSNs of one run: windows over an account's records go by runs, and totals of the runs before are carried into them.
+RUN = 1 << 20
+
+
+def _carried(rows: DataFrame, value: Column) -> DataFrame:
+    """(account_id, run, before): the sum of value over the runs of the account before this one."""
+    sums = rows.groupBy("account_id", "run").agg(F.sum(value).alias("here"))
+    before = F.sum("here").over(W.partitionBy("account_id").orderBy("run").rowsBetween(W.unboundedPreceding, -1))
+    return sums.select("account_id", "run", F.coalesce(before, F.lit(0)).alias("before"))
 
 
 def running_balances(accounts: DataFrame, journal: DataFrame) -> DataFrame:
-    """Each account's posted balance after each of its records."""
-    order = W.partitionBy("account_id").orderBy("lsn").rowsBetween(W.unboundedPreceding, 0)
-    moved = legs(journal).join(accounts.select("account_id", F.col("posted_credits").alias("opening")), "account_id")
-    delta = F.col("posted_credits") - F.col("posted_debits")
-    return moved.select("account_id", "lsn", delta.alias("delta"), (F.col("opening") + F.sum(delta).over(order)).alias("running_balance"))
+    """Each account's posted balance after each of its records. A sink's records are windows of a run of LSNs each, not one of all."""
+    delta = (F.col("posted_credits") - F.col("posted_debits")).alias("delta")
+    moved = legs(journal).select("account_id", "lsn", delta, F.floor(F.col("lsn") / RUN).alias("run"))
+    order = W.partitionBy("account_id", "run").orderBy("lsn").rowsBetween(W.unboundedPreceding, 0)
+    inside = moved.withColumn("upto", F.sum("delta").over(order)).join(_carried(moved, F.col("delta")), ["account_id", "run"])
+    opening = accounts.select("account_id", F.col("posted_credits").alias("opening"))
+    return inside.join(opening, "account_id").select("account_id", "lsn", "delta", (F.col("opening") + F.col("before") + F.col("upto")).alias("running_balance"))
 
 
 def latest(journal: DataFrame) -> DataFrame:
@@ -115,19 +141,28 @@ def _named(side: str) -> Column:
 
 
 def history(journal: DataFrame) -> DataFrame:
-    """(account_id, position, lsn, transfer_id): what each account's history lists, in order of arrival; one leg where both sides are one account."""
+    """(account_id, lsn, transfer_id, position): what each account's history lists, in order of arrival; one leg where both sides are one account."""
     named = settled(journal).select("lsn", "transfer_id", F.explode(F.array_distinct(F.array(_named("debit"), _named("credit")))).alias("account_id"))
-    once = named.select("account_id", "lsn", "transfer_id").distinct()
-    return once.withColumn("position", F.row_number().over(W.partitionBy("account_id").orderBy("lsn")))
+    once = named.select("account_id", "lsn", "transfer_id").distinct().withColumn("run", F.floor(F.col("lsn") / RUN))
+    nth = F.row_number().over(W.partitionBy("account_id", "run").orderBy("lsn"))
+    placed = once.withColumn("nth", nth).join(_carried(once, F.lit(1)), ["account_id", "run"])
+    return placed.select("account_id", "lsn", "transfer_id", (F.col("before") + F.col("nth")).cast("int").alias("position"))
 
 
 def page(journal: DataFrame, account_id, after=None, limit: int = S.PAGE) -> DataFrame:
-    """A page of one account's history after a cursor: an unknown cursor starts from the beginning, limit <= 0 means everything."""
-    own = history(journal).where(F.col("account_id") == account_id)
+    """A page of one account's history after a cursor: an unknown cursor starts from the beginning, limit <= 0 means everything.
+
+    The account's own records and the posts and voids of its holds are picked before anything is placed; versions are built for the page alone.
+    """
+    mine = (F.col("debit_account_id") == account_id) | (F.col("credit_account_id") == account_id)
+    held = journal.where(mine & has(F.col("flags"), S.PENDING)).select("transfer_id").distinct()
+    settling = journal.where((has(F.col("flags"), S.POST) | has(F.col("flags"), S.VOID)) & ~mine).join(held, "transfer_id", "left_semi")
+    own = history(journal.where(mine).unionByName(settling)).where(F.col("account_id") == account_id)
     start = own.where(F.col("transfer_id") == F.lit(after)).agg(F.coalesce(F.min("position"), F.lit(0)).alias("start"))
     rest = own.crossJoin(F.broadcast(start)).where(F.col("position") > F.col("start")).drop("start")  # one row
-    rest = rest if limit <= 0 else rest.where(F.col("position") > 0).orderBy("position").limit(limit)
-    return rest.join(latest(journal).drop("lsn"), "transfer_id")
+    rest = rest if limit <= 0 else rest.orderBy("position").limit(limit)
+    ids = rest.select("transfer_id").distinct()
+    return rest.join(latest(journal.join(ids, "transfer_id", "left_semi")).drop("lsn"), "transfer_id")
 
 
 def conservation(accounts: DataFrame, after: DataFrame) -> DataFrame:

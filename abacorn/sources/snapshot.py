@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from abacorn import schema as S
+from abacorn.operators.admission import restore
 from abacorn.sources.wal import ACCOUNT_BYTES, TRANSFER_BYTES
 
 #: The header and the file names of binary snapshots.
@@ -105,3 +106,24 @@ def truncatable(segments: DataFrame, lsn: int) -> DataFrame:
     """segments (segment, max_lsn) that retention may drop: all of them below lsn, but never the active, last one."""
     last = segments.agg(F.max("segment").alias("active"))
     return segments.crossJoin(F.broadcast(last)).where((F.col("max_lsn") < lsn) & (F.col("segment") != F.col("active"))).drop("active")  # one row
+
+
+def trigger(accounts: DataFrame, journal: DataFrame, folder: str, keep: int = S.SNAPSHOTS_KEPT) -> int:
+    """Snapshot the state after the journal, then drop all but the newest; the snapshot's LSN, 0 if there is nothing to hold. The log may then be truncated below it."""
+    lsn = journal.agg(F.max("lsn")).first()[0]
+    if not lsn:
+        return 0
+    after, state = restore(accounts, journal)
+    write(after, state.holds, folder, lsn, state.clock_ns)
+    names, fs = listed(after.sparkSession, folder)
+    for name in names[:-keep]:
+        fs.delete(fs.makeQualified(after.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")), True)
+    return lsn
+
+
+def listed(spark: SparkSession, folder: str) -> tuple[list[str], object]:
+    """The Parquet snapshots of a folder that have a manifest, oldest first, and the folder's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [s.getPath().getName() for s in fs.listStatus(path(folder))]
+    return sorted(n for n in found if n.startswith("snapshot-") and fs.exists(path(f"{folder}/{n}/manifest/_SUCCESS"))), fs

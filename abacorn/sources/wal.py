@@ -82,9 +82,31 @@ def _read(part: _Segment) -> Iterator[tuple]:
                 yield row
 
 
-def _last_lsn(path: str) -> int:
+#: How much of a segment's end is read for its last LSN.
+TAIL = 65_536
+
+
+def _last_lsn(path: str, commits: bool = False) -> int:
+    """The LSN of the last sound frame (or commit) of a segment, from its last TAIL bytes; from all of it only if these hold none.
+
+    A frame may start anywhere in the tail; the first place whose length fits and whose checksum holds starts a walk to the end.
+    """
+    wanted = lambda row: row[5] and (not commits or row[3] == S.COMMIT)
+    size = os.path.getsize(path)
     with open(path, "rb") as file:
-        return max((row[2] for row in frames(file.read(), 0) if row[5]), default=0)
+        if size > TAIL:
+            file.seek(size - TAIL)
+            data = file.read()
+            for at in range(len(data) - HEADER - CHECKSUM + 1):
+                kind, length = struct.unpack_from(">BI", data, at + 8)
+                end = at + HEADER + length
+                if S.TRANSFER <= kind <= S.COMMIT and end + CHECKSUM <= len(data) and zlib.crc32(data[at:end]) == struct.unpack_from(">I", data, end)[0]:
+                    found = max((row[2] for row in frames(data[at:], 0) if wanted(row)), default=0)
+                    if found:
+                        return found
+                    break
+            file.seek(0)
+        return max((row[2] for row in frames(file.read(), 0) if wanted(row)), default=0)
 
 
 class WalReader(DataSourceReader):
@@ -101,23 +123,29 @@ class WalReader(DataSourceReader):
 
 
 class WalStreamReader(DataSourceStreamReader):
-    """The change feed: offsets are the LSNs of commits, so what is not committed stays hidden and batches are never cut."""
+    """The change feed: offsets are the LSNs of commits, so what is not committed stays hidden and batches are never cut.
+
+    A segment is looked at again only when it has grown, and then at its tail; segments that end below a batch are not read for it.
+    """
 
     def __init__(self, options: dict) -> None:
         self.folder, self.first = options["path"], int(options.get("from_lsn", 0))
+        self.known: dict[str, tuple[int, int]] = {}
 
     def initialOffset(self) -> dict:
         return {"lsn": self.first}
 
+    def _commit(self, path: str) -> int:
+        size = os.path.getsize(path)
+        if self.known.get(path, (-1, 0))[0] != size:
+            self.known[path] = size, _last_lsn(path, commits=True)
+        return self.known[path][1]
+
     def latestOffset(self) -> dict:
-        last = self.first
-        for number, path in segments(self.folder):
-            with open(path, "rb") as file:
-                last = max([last, *(row[2] for row in frames(file.read(), number) if row[5] and row[3] == S.COMMIT)])
-        return {"lsn": last}
+        return {"lsn": max([self.first, *(self._commit(p) for _, p in segments(self.folder))])}
 
     def partitions(self, start: dict, end: dict) -> list[_Segment]:
-        return [_Segment(n, p, start["lsn"], end["lsn"]) for n, p in segments(self.folder)]
+        return [_Segment(n, p, start["lsn"], end["lsn"]) for n, p in segments(self.folder) if _last_lsn(p) > start["lsn"]]
 
     def read(self, partition: _Segment) -> Iterator[tuple]:
         return _read(partition)
@@ -189,3 +217,104 @@ def accounts(rows: DataFrame) -> DataFrame:
     money = {c: _money(p, 48 + 16 * i).alias(c) for i, c in enumerate(("posted_debits", "posted_credits", "pending_debits", "pending_credits"))}
     currency = F.regexp_replace(_bytes(p, 16, 4).cast("string"), "\\x00+$", "")
     return sound.select("lsn", _bytes(p, 0, 16).alias("account_id"), currency.alias("currency"), word(p, 20, 4).cast("long").alias("ledger"), word(p, 24, 2).cast("int").alias("code"), word(p, 28, 4).cast("long").alias("flags"), _bytes(p, 32, 16).alias("user_data"), *money.values())
+
+
+def number(value: Column, size: int) -> Column:
+    """An unsigned number below 2**63 as size big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(value.cast("long")), 2 * size, "0"))
+
+
+def transfer_payload(t: dict[str, Column]) -> Column:
+    """The fixed payload of a transfer from columns of numbers (ids, amount, ts_ns, timeout_ns, ledger, code, flags) and 32 bytes of key; missing fields are zero."""
+    n = lambda c, size: number(t.get(c, F.lit(0)), size)
+    gap = lambda size: F.unhex(F.lit("00" * size))
+    ids = [n(c, 16) for c in ("transfer_id", "debit_account_id", "credit_account_id", "amount")]
+    key = F.coalesce(t.get("idempotency_key", F.lit(None).cast("binary")), gap(32))
+    return F.concat(*ids, key, n("user_data", 16), n("ts_ns", 8), n("timeout_ns", 8), n("ledger", 4), n("code", 2), gap(2), n("flags", 4), gap(4))
+
+
+def checkpoint_payload(lsn: Column) -> Column:
+    return number(lsn, 8)
+
+
+def framed(entries: DataFrame, after_lsn: int = 0) -> DataFrame:
+    """(batch_id, lsn, type, frame) of entries (batch_id, idx, type, payload): LSNs rise from after_lsn by batch and idx, and a commit ends each batch.
+
+    A window sees a batch, or one row for each run of 4096 batches.
+    """
+    sizes = entries.groupBy("batch_id").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("batch_id") / 4096))
+    runs = sizes.groupBy("run").agg(F.sum(F.col("n") + 1).alias("here"))
+    runs = runs.select("run", F.coalesce(F.sum("here").over(W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("carried"))
+    inside = W.partitionBy("run").orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.withColumn("inside", F.coalesce(F.sum(F.col("n") + 1).over(inside), F.lit(0))).join(runs, "run")
+    starts = starts.select("batch_id", "n", (F.lit(after_lsn) + F.col("carried") + F.col("inside")).alias("before"))
+    nth = F.row_number().over(W.partitionBy("batch_id").orderBy("idx"))
+    data = entries.join(starts, "batch_id").select("batch_id", (F.col("before") + nth).alias("lsn"), "type", "payload")
+    end = F.col("before") + F.col("n") + 1
+    commits = starts.select("batch_id", end.alias("lsn"), F.lit(S.COMMIT).alias("type"), F.concat(number(end, 8), number(F.col("n"), 4)).alias("payload"))
+    head = F.concat(number(F.col("lsn"), 8), number(F.col("type"), 1), number(F.octet_length("payload"), 4), F.col("payload"))
+    both = data.unionByName(commits).withColumn("head", head)
+    return both.select("batch_id", "lsn", "type", F.concat("head", number(F.crc32("head"), 4)).alias("frame"))
+
+
+def append(entries: DataFrame, folder: str, at_least: int = 0, per_segment: int = 64) -> DataFrame:
+    """Append entries (batch_id, idx, type, payload) to a log in new segments of per_segment batch ids each; (segment, first_lsn, last_lsn, bytes) of what was written.
+
+    LSNs go on above the log's last one and above at_least, the LSN of a snapshot that is ahead of the log. A segment is written under another name
+    and then renamed, so a task that runs again replaces its own. The result is computed once, when the call returns.
+    """
+    old = segments(folder)
+    after = max([at_least, *(_last_lsn(p) for _, p in old)])
+    first = max([0, *(n for n, _ in old)]) + 1
+    rows = framed(entries, after).withColumn("part", F.floor(F.col("batch_id") / per_segment))
+    parts = rows.groupBy("part").agg(F.min("lsn").alias("low"))
+    numbered = parts.select("part", (F.row_number().over(W.orderBy("part")) + F.lit(first - 1)).alias("segment"))  # one row a segment
+
+    def write(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("lsn")
+        number_, path = int(frame["segment"].iloc[0]), os.path.join(folder, f"wal-{int(frame['segment'].iloc[0]):06d}.seg")
+        data = b"".join(frame["frame"])
+        with open(f"{path}.{os.getpid()}.tmp", "wb") as file:
+            file.write(data)
+        os.replace(f"{path}.{os.getpid()}.tmp", path)
+        return pd.DataFrame([(number_, int(frame["lsn"].min()), int(frame["lsn"].max()), len(data))], columns=["segment", "first_lsn", "last_lsn", "bytes"])
+
+    done = rows.join(numbered, "part").select("segment", "lsn", "frame").groupBy("segment").applyInPandas(write, "segment long, first_lsn long, last_lsn long, bytes long")
+    return entries.sparkSession.createDataFrame(done.collect(), done.schema)  # a row a segment
+
+
+def truncate(folder: str, lsn: int) -> list[int]:
+    """Delete the segments that end below lsn, but never the last one; their ids."""
+    gone = [(n, p) for n, p in segments(folder)[:-1] if _last_lsn(p) < lsn]
+    for _, path in gone:
+        os.remove(path)
+    return [n for n, _ in gone]
+
+
+def reset(folder: str) -> None:
+    """Delete every segment."""
+    for _, path in segments(folder):
+        os.remove(path)
+
+
+def flip_bit(path: str, at: int, bit: int = 0) -> None:
+    """Fault injection for tests: one bit of a file is turned over."""
+    with open(path, "r+b") as file:
+        file.seek(at)
+        value = file.read(1)[0]
+        file.seek(at)
+        file.write(bytes([value ^ (1 << bit)]))
+
+
+def overwrite(path: str, at: int, data: bytes) -> None:
+    """Fault injection for tests: bytes of a file are replaced."""
+    with open(path, "r+b") as file:
+        file.seek(at)
+        file.write(data)
+
+
+def shorten(path: str, by: int) -> None:
+    """Fault injection for tests: bytes are cut off a file's end."""
+    os.truncate(path, os.path.getsize(path) - by)

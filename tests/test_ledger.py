@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from abacorn.functions import money as M
-from abacorn.operators import admission, audit
+from abacorn.operators import admission, audit, journal
+from abacorn.plans import log_queries  # noqa: F401  registers its queries
 from abacorn.plans import queries as Q
 from abacorn.streaming.admission import admit_stream, append_once, fresh_keys
 
@@ -177,10 +178,54 @@ def test_key_memory_and_keyless_rows(spark, tmp_path):
 
 
 def test_views_keep_submitted_accounts(spark):
-    from abacorn.operators import journal
+
 
     rows = [(1, 7, 1, 2, 50, 0, 1, 1, 0, 1), (2, 7, 9, 2, 20, 0, 2, 2, 0, 2), (3, 7, 0, 0, 0, 0, 2, 3, 0, 3)]
     j = spark.createDataFrame(rows, "lsn long, transfer_id long, debit_account_id long, credit_account_id long, amount long, ledger long, flags long, ts_ns long, timeout_ns long, batch_id long")
     assert sorted((r["account_id"], r["lsn"]) for r in journal.history(j).collect()) == [(1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (9, 2)]
     assert [(r["lsn"], r["debit_account_id"]) for r in journal.latest(j.where("lsn < 3")).collect()] == [(2, 9)] and journal.latest(j).first()["debit_account_id"] == 1
     assert [r["transfer_id"] for r in journal.page(j, 2, None, 0).collect()] == [7, 7, 7] and journal.page(j, 2, 12345, 2).count() == 2
+
+
+def test_windows_by_runs_are_windows_over_all(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows, accounts = [], [(a, 1000 * a) for a in range(4)]
+    for lsn in range(1, 200):
+        a, b = rng.sample(range(4), 2)
+        rows.append((lsn, lsn, a, b, rng.randrange(1, 9), 0, 0, lsn, 0, 0))
+    j = spark.createDataFrame(rows, "lsn long, transfer_id long, debit_account_id long, credit_account_id long, amount long, ledger long, flags long, ts_ns long, timeout_ns long, batch_id long")
+    opening = spark.createDataFrame(accounts, "account_id long, posted_credits long")
+    want, at, place, balance = [], [], dict.fromkeys(range(4), 0), dict(accounts)
+    for lsn, _, a, b, amount, *_ in rows:
+        for account, delta in ((a, -amount), (b, amount)):
+            balance[account] += delta
+            place[account] += 1
+            want.append((account, lsn, delta, balance[account]))
+            at.append((account, lsn, place[account]))
+    for run in (7, 1 << 20):
+        monkeypatch.setattr(journal, "RUN", run)
+        assert sorted(map(tuple, journal.running_balances(opening, j).collect())) == sorted(want)
+        assert sorted((r["account_id"], r["lsn"], r["position"]) for r in journal.history(j).collect()) == sorted(at)
+
+
+def test_batch_clock_by_runs(spark):
+    now = [5, 5, 3, 90, 4, 4, 91, 91, 91, 2]
+    batches = spark.createDataFrame([(i * 3, n) for i, n in enumerate(now)], "batch_id long, now_ns long")
+    clock, want = None, []
+    for n in now:
+        clock = n if clock is None else max(n, clock + 1)
+        want.append(clock)
+    for width in (1, 4, 4096):
+        assert [r["clock_ns"] for r in admission.batch_clock(batches, width).orderBy("batch_id").collect()] == want
+
+
+def test_plain_records_beside_a_hold_of_the_same_id(spark):
+    rows = [(1, 7, 1, 2, 10, 0, 1, 1, 0, 0), (2, 8, 1, 2, 5, 0, 8, 2, 0, 0), (3, 7, 0, 0, 4, 0, 2, 3, 0, 0), (4, 7, 0, 0, 0, 0, 2, 4, 0, 0), (5, 9, 1, 2, 3, 0, 1, 5, 2, 0), (6, 10, 2, 1, 1, 0, 0, 9, 0, 0)]
+    j = spark.createDataFrame(rows, "lsn long, transfer_id long, debit_account_id long, credit_account_id long, amount long, ledger long, flags long, ts_ns long, timeout_ns long, batch_id long")
+    accounts = spark.createDataFrame([(1, 0, 100, 0, 0), (2, 0, 0, 0, 0), (3, 0, 7, 0, 0)], "account_id long, posted_debits long, posted_credits long, pending_debits long, pending_credits long")
+    got = {r["account_id"]: tuple(r[c] for c in journal.STATE) for r in journal.balances(accounts, j).collect()}
+    assert got == {1: (15, 101, 0, 0), 2: (1, 15, 0, 0), 3: (0, 7, 0, 0)}
+    early = {r["account_id"]: tuple(r[c] for c in journal.STATE) for r in journal.balances(accounts, j, clock=6).collect()}
+    assert early[1] == (15, 101, 3, 0) and early[2] == (1, 15, 0, 3)
