@@ -62,7 +62,9 @@ class SnapshotReader(DataSourceReader):
         found = newest(self.folder)
         return [InputPartition(found[1])] if found else []
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark hands over where there is no snapshot
+            return
         with open(partition.value, "rb") as file:
             lsn, accounts, holds = decode(file.read())
         yield from ((lsn, lsn, S.ACCOUNT, p) for p in accounts)

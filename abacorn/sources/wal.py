@@ -74,7 +74,9 @@ class _Segment(InputPartition):
         self.number, self.path, self.above, self.upto = number, path, above, upto
 
 
-def _read(part: _Segment) -> Iterator[tuple]:
+def _read(part: _Segment | None) -> Iterator[tuple]:
+    if part is None:  # what Spark hands over where there are no segments
+        return
     with open(part.path, "rb") as file:
         for row in frames(file.read(), part.number):
             # a torn end has no LSN to go by, and a reader of the whole log must see it
@@ -118,7 +120,7 @@ class WalReader(DataSourceReader):
     def partitions(self) -> list[_Segment]:
         return [_Segment(n, p, self.above) for n, p in segments(self.folder) if not self.above or _last_lsn(p) > self.above]
 
-    def read(self, partition: _Segment) -> Iterator[tuple]:
+    def read(self, partition: _Segment | None) -> Iterator[tuple]:
         return _read(partition)
 
 
@@ -147,7 +149,7 @@ class WalStreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[_Segment]:
         return [_Segment(n, p, start["lsn"], end["lsn"]) for n, p in segments(self.folder) if _last_lsn(p) > start["lsn"]]
 
-    def read(self, partition: _Segment) -> Iterator[tuple]:
+    def read(self, partition: _Segment | None) -> Iterator[tuple]:
         return _read(partition)
 
 

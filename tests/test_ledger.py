@@ -178,8 +178,6 @@ def test_key_memory_and_keyless_rows(spark, tmp_path):
 
 
 def test_views_keep_submitted_accounts(spark):
-
-
     rows = [(1, 7, 1, 2, 50, 0, 1, 1, 0, 1), (2, 7, 9, 2, 20, 0, 2, 2, 0, 2), (3, 7, 0, 0, 0, 0, 2, 3, 0, 3)]
     j = spark.createDataFrame(rows, "lsn long, transfer_id long, debit_account_id long, credit_account_id long, amount long, ledger long, flags long, ts_ns long, timeout_ns long, batch_id long")
     assert sorted((r["account_id"], r["lsn"]) for r in journal.history(j).collect()) == [(1, 1), (1, 3), (2, 1), (2, 2), (2, 3), (9, 2)]

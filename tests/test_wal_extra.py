@@ -81,3 +81,10 @@ def test_snapshots_are_triggered_and_three_stay(spark, tmp_path):
     state, holds, manifest = snapshot.read(spark, f"{folder}/{names[-1]}")
     assert {r["account_id"]: (r["posted_debits"], r["posted_credits"], r["pending_debits"]) for r in state.collect()} == {1: (20, 100, 30), 2: (0, 20, 0)}
     assert sorted(r["transfer_id"] for r in holds.collect()) == [1, 3, 5] and manifest["clock_ns"] == 5
+
+
+def test_a_folder_without_segments_or_snapshots_is_empty(spark, tmp_path):
+    spark.dataSource.register(wal.WalDataSource)
+    spark.dataSource.register(snapshot.SnapshotDataSource)
+    for name in ("wal", "ledger_snapshot"):
+        assert spark.read.format(name).option("path", str(tmp_path)).load().count() == 0
