@@ -125,9 +125,9 @@ def admit_batches(submitted: DataFrame, accounts: DataFrame, state: State | None
     large = sizes.where(F.col("items") > S.BATCH_LIMIT).select("batch_id", "items")
     refused = submitted.join(large, "batch_id").select("batch_id", "idx", "transfer_id", "ledger", F.lit(False).alias("ok"), F.lit("BatchTooLarge").alias("error_code"), F.col("items").cast("string").alias("error_subject"))
     clocks = _running_clock(sizes.where(F.col("items") <= S.BATCH_LIMIT).select("batch_id", "now"), state.clock_ns if state else 0)
-    rows = submitted.drop("now_ns").join(clocks, "batch_id")
-    keyed, held = partition_key(rows, accounts, state)
-    dealt = keyed.withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("int"))
+    # rows of refused batches may join parts that are apart without them, which changes no outcome
+    keyed, held = partition_key(submitted.drop("now_ns"), accounts, state)
+    dealt = keyed.join(clocks, "batch_id").withColumn("bucket", F.pmod(F.xxhash64("part"), F.lit(buckets)).cast("int"))
     again = (F.col("bucket") + F.lit(0)).cast("int").alias("bucket")  # a column of its own, for the two sides of the cogroup
     needed = dealt.select(again, F.explode(F.array("debit_account_id", "credit_account_id")).alias("account_id"))
     known = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in HOLD_COLUMNS.items()) + ", bucket int")
@@ -159,6 +159,7 @@ def _running_clock(batches: DataFrame, least: int, width: int = 4096) -> DataFra
 def partition_key(rows: DataFrame, accounts: DataFrame, state: State | None = None) -> tuple[DataFrame, DataFrame | None]:
     """rows with part, equal for rows whose decisions may depend on each other, and known (the id was accepted before); and the open holds with part."""
     node = lambda kind, *c: F.xxhash64(F.lit(kind), *c)
+    own = lambda settles: F.when(settles, node("id", "transfer_id")).otherwise(node("account", "debit_account_id"))
     settles = has(F.col("flags"), S.POST) | has(F.col("flags"), S.VOID)
     links = rows.select("batch_id", "idx", has(F.col("flags"), S.LINKED).alias("linked"))
     chained = chains(links).where("chain_size > 1").select("batch_id", "idx", F.col("chain_no").alias("chain"))
@@ -171,21 +172,26 @@ def partition_key(rows: DataFrame, accounts: DataFrame, state: State | None = No
         debits = debits.union(state.holds.select("debit_account_id"))
         out = rows.join(state.ids.select("transfer_id").distinct().withColumn("known", F.lit(True)), "transfer_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     debits = (debits if near is None else debits.union(near)).distinct()
+    # where no credit may be contested, no id comes again and no row is linked, nothing joins two rows; this asks less than the edges themselves
+    credits = rows.where(~settles).select(F.col("credit_account_id").alias("account_id"))
+    if state is not None:
+        credits = credits.union(state.holds.select("credit_account_id"))
+    linked = links.where("linked").select(F.col("batch_id").cast("long"))
+    if credits.distinct().join(debits, "account_id", "left_semi").union(repeated).union(linked).isEmpty():
+        alone = out.withColumn("part", own(settles)).select(*rows.columns, "known", "part")
+        return alone, state and state.holds.select(*HOLD_COLUMNS).withColumn("part", node("account", "debit_account_id"))
     contested = debits.select(F.col("account_id").alias("credit_account_id"), F.lit(True).alias("contested"))
     out = out.join(contested, "credit_account_id", "left").join(repeated.withColumn("again", F.lit(True)), "transfer_id", "left").join(chained, ["batch_id", "idx"], "left")
-    own = F.when(settles, node("id", "transfer_id")).otherwise(node("account", "debit_account_id"))
     more = F.array(
         F.when(~settles & F.col("contested"), node("account", "credit_account_id")), F.when(F.col("again"), node("id", "transfer_id")), F.when(F.col("chain").isNotNull(), node("chain", "batch_id", "chain"))
     )
-    out = out.withColumn("own", own).withColumn("more", F.array_compact(more)).select(*rows.columns, "known", "own", "more")
+    out = out.withColumn("own", own(settles)).withColumn("more", F.array_compact(more)).select(*rows.columns, "known", "own", "more")
     edges = out.select(F.col("own").alias("a"), F.explode("more").alias("b")).where("a != b")
     held = None
     if state is not None:
         held = state.holds.select(*HOLD_COLUMNS).withColumn("own", node("account", "debit_account_id"))
         both = held.join(contested, "credit_account_id", "left").select(F.col("own").alias("a"), F.array_compact(F.array(node("id", "transfer_id"), F.when(F.col("contested"), node("account", "credit_account_id")))).alias("more"))
         edges = edges.union(both.select("a", F.explode("more").alias("b")).where("a != b"))
-    if edges.isEmpty():
-        return out.withColumn("part", F.col("own")).drop("own", "more"), held and held.withColumnRenamed("own", "part")
     roots = components(edges).withColumnRenamed("node", "own")
     labelled = lambda df: df.join(roots, "own", "left").withColumn("part", F.coalesce("root", "own")).drop("own", "root", "more")
     return labelled(out), held and labelled(held)
