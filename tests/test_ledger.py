@@ -227,3 +227,12 @@ def test_plain_records_beside_a_hold_of_the_same_id(spark):
     assert got == {1: (15, 101, 0, 0), 2: (1, 15, 0, 0), 3: (0, 7, 0, 0)}
     early = {r["account_id"]: tuple(r[c] for c in journal.STATE) for r in journal.balances(accounts, j, clock=6).collect()}
     assert early[1] == (15, 101, 3, 0) and early[2] == (1, 15, 0, 3)
+
+
+def test_links_that_join_nothing(spark):
+    """A linked row that stands alone, a row of a contested account, and an empty batch table."""
+    accounts = spark.createDataFrame([(1, "USD", 0, 0, 0, 100, 0, 0), (2, "USD", 0, 0, 0, 0, 0, 0)], "account_id long, currency string, ledger long, flags long, posted_debits long, posted_credits long, pending_debits long, pending_credits long")
+    schema = "batch_id long, idx int, transfer_id long, debit_account_id long, credit_account_id long, amount long, ledger long, flags long, timeout_ns long, now_ns long"
+    for rows, want in (([(0, 0, 1, 1, 2, 5, 0, 8, 0, 1)], {1: "LinkedChainOpen"}), ([(0, 0, 1, 1, 2, 5, 0, 0, 0, 1), (1, 0, 2, 2, 1, 5, 0, 0, 0, 2)], {1: None, 2: None}), ([], {})):
+        out = admission.admit_batches(spark.createDataFrame(rows, schema), accounts, buckets=2).collect()
+        assert {r["transfer_id"]: r["error_code"] for r in out} == want
