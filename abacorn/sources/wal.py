@@ -178,17 +178,16 @@ def committed(rows: DataFrame) -> DataFrame:
     sound = F.col("crc_ok") & ~F.col("torn") & (F.col("type") != 0)
     broken = rows.where(~sound).agg(F.min(F.struct("segment", "offset")).alias("broken"))
     prefix = rows.crossJoin(F.broadcast(broken)).where(F.col("broken").isNull() | (F.struct("segment", "offset") < F.col("broken"))).drop("broken")  # one row
-    commits = prefix.where(F.col("type") == S.COMMIT).select(F.col("lsn").alias("commit_lsn"), word(F.col("payload"), 8, 4).cast("long").alias("expected"))
-    # the commit of a record is the smallest one at or above it; LSNs rise, so a window over ranges of LSNs finds it
-    order = W.partitionBy("bucket").orderBy("lsn")
-    marked = prefix.withColumns({"bucket": F.floor(F.col("lsn") / 65536), "mark": F.when(F.col("type") == S.COMMIT, F.col("lsn"))})
-    near = F.min("mark").over(order.rowsBetween(0, W.unboundedFollowing))
+    # the commit of a record is the smallest one at or above it; LSNs rise, so a window over ranges of LSNs finds it, from the end: frames that grow by a row are linear
+    commit = F.col("type") == S.COMMIT
+    marked = prefix.withColumns({"bucket": F.floor(F.col("lsn") / 65536), "mark": F.when(commit, F.col("lsn"))})
+    near = F.min("mark").over(W.partitionBy("bucket").orderBy(F.desc("lsn")).rowsBetween(W.unboundedPreceding, 0))
     firsts = marked.groupBy("bucket").agg(F.min("mark").alias("first_mark"))  # a row for each 65,536 LSNs
-    carried = firsts.select("bucket", F.min("first_mark").over(W.orderBy("bucket").rowsBetween(1, W.unboundedFollowing)).alias("carried"))
-    owned = marked.withColumn("commit_lsn", near).join(carried, "bucket").withColumn("commit_lsn", F.coalesce("commit_lsn", "carried"))
-    data = owned.where(F.col("type") != S.COMMIT).select("segment", "offset", "lsn", "type", "payload", "commit_lsn")
-    full = data.groupBy("commit_lsn").agg(F.count("*").alias("n")).join(commits, "commit_lsn").where("n = expected").select("commit_lsn")
-    return data.join(full, "commit_lsn")
+    carried = firsts.select("bucket", F.min("first_mark").over(W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    owned = marked.withColumn("commit_lsn", near).join(carried, "bucket").withColumn("commit_lsn", F.coalesce("commit_lsn", "carried")).where("commit_lsn is not null")
+    batch = W.partitionBy("commit_lsn")
+    counted = owned.withColumns({"n": F.count(F.when(~commit, 1)).over(batch), "expected": F.max(F.when(commit, word(F.col("payload"), 8, 4).cast("long"))).over(batch)})
+    return counted.where(~commit & (F.col("n") == F.col("expected"))).select("commit_lsn", "segment", "offset", "lsn", "type", "payload")
 
 
 def word(payload: Column, at: int, size: int) -> Column:
@@ -268,9 +267,9 @@ def append(entries: DataFrame, folder: str, at_least: int = 0, per_segment: int
     old = segments(folder)
     after = max([at_least, *(_last_lsn(p) for _, p in old)])
     first = max([0, *(n for n, _ in old)]) + 1
-    rows = framed(entries, after).withColumn("part", F.floor(F.col("batch_id") / per_segment))
-    parts = rows.groupBy("part").agg(F.min("lsn").alias("low"))
-    numbered = parts.select("part", (F.row_number().over(W.orderBy("part")) + F.lit(first - 1)).alias("segment"))  # one row a segment
+    part = F.floor(F.col("batch_id") / per_segment).alias("part")
+    rows = framed(entries, after).select("*", part)
+    numbered = entries.select(part).distinct().select("part", (F.row_number().over(W.orderBy("part")) + F.lit(first - 1)).alias("segment"))  # one row a segment
 
     def write(frame):
         import pandas as pd

@@ -88,3 +88,14 @@ def test_a_folder_without_segments_or_snapshots_is_empty(spark, tmp_path):
     spark.dataSource.register(snapshot.SnapshotDataSource)
     for name in ("wal", "ledger_snapshot"):
         assert spark.read.format(name).option("path", str(tmp_path)).load().count() == 0
+
+
+def test_commits_across_ranges_of_lsns_by_windows_that_grow(spark, tmp_path):
+    """A frame that ends at its partition's end is summed anew for each row, so 65,536 LSNs took two thousand million steps."""
+    spark.dataSource.register(wal.WalDataSource)
+    folder = str(tmp_path)
+    entries = spark.range(30).selectExpr("id div 10 as batch_id", "id as idx", "3 as type", "cast(cast(id as string) as binary) as payload")
+    wal.append(entries, folder, at_least=65_530, per_segment=1)  # the first batch begins below LSN 65,536 and ends above
+    rows = wal.committed(spark.read.format("wal").option("path", folder).load())
+    assert "unboundedfollowing" not in rows._jdf.queryExecution().toString().lower()
+    assert sorted((r["lsn"], r["commit_lsn"]) for r in rows.collect()) == [(65_531 + 11 * b + i, 65_541 + 11 * b) for b in range(3) for i in range(10)]
