@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from decimal import Decimal
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -74,6 +75,31 @@ class _Segment(InputPartition):
         self.number, self.path, self.above, self.upto = number, path, above, upto
 
 
+class _Segments(InputPartition):
+    """Segments in a row, for one task: a task for each costs more than small ones take to read."""
+
+    def __init__(self, parts: list[_Segment]) -> None:
+        super().__init__(tuple(p.value for p in parts))
+        self.parts = parts
+
+
+#: Bytes of segments that one task reads; a larger segment is a task of its own.
+TASK_BYTES = 16 << 20
+
+
+def _grouped(parts: list[_Segment]) -> list[_Segments]:
+    """Segments in order, in runs of at most TASK_BYTES."""
+    out, room = [], 0
+    for part in parts:
+        size = os.path.getsize(part.path)
+        if not out or size > room:
+            out.append([])
+            room = TASK_BYTES
+        out[-1].append(part)
+        room -= size
+    return [_Segments(x) for x in out]
+
+
 def _read(part: _Segment | None) -> Iterator[tuple]:
     if part is None:  # what Spark hands over where there are no segments
         return
@@ -84,6 +110,20 @@ def _read(part: _Segment | None) -> Iterator[tuple]:
                 yield row
 
 
+#: Frames of one Arrow batch.
+FRAMES_AT_ONCE = 8192
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator:
+    """Rows of SCHEMA as Arrow batches, which Spark takes without a look at each value."""
+    import pyarrow as pa
+
+    long, flag = pa.int64(), pa.bool_()
+    schema = pa.schema([("segment", long), ("offset", long), ("lsn", long), ("type", pa.int32()), ("payload", pa.binary()), ("crc_ok", flag), ("torn", flag)])
+    while part := list(islice(rows, FRAMES_AT_ONCE)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+
 #: How much of a segment's end is read for its last LSN.
 TAIL = 65_536
 
@@ -112,16 +152,16 @@ def _last_lsn(path: str, commits: bool = False) -> int:
 
 
 class WalReader(DataSourceReader):
-    """A partition for each segment; segments whose last LSN is not above the option from_lsn are left out."""
+    """A partition for each run of segments; segments whose last LSN is not above the option from_lsn are left out."""
 
     def __init__(self, options: dict) -> None:
         self.folder, self.above = options["path"], int(options.get("from_lsn", 0))
 
-    def partitions(self) -> list[_Segment]:
-        return [_Segment(n, p, self.above) for n, p in segments(self.folder) if not self.above or _last_lsn(p) > self.above]
+    def partitions(self) -> list[_Segments]:
+        return _grouped([_Segment(n, p, self.above) for n, p in segments(self.folder) if not self.above or _last_lsn(p) > self.above])
 
-    def read(self, partition: _Segment | None) -> Iterator[tuple]:
-        return _read(partition)
+    def read(self, partition: _Segments | None) -> Iterator:
+        return _batches(row for part in (partition.parts if partition else ()) for row in _read(part))
 
 
 class WalStreamReader(DataSourceStreamReader):
