@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from abacorn.functions import money as M
 from abacorn.operators import admission, audit, journal
+from abacorn.operators.graph import components
 from abacorn.plans import log_queries  # noqa: F401  registers its queries
 from abacorn.plans import queries as Q
 from abacorn.streaming.admission import admit_stream, append_once, fresh_keys
@@ -236,3 +237,11 @@ def test_links_that_join_nothing(spark):
     for rows, want in (([(0, 0, 1, 1, 2, 5, 0, 8, 0, 1)], {1: "LinkedChainOpen"}), ([(0, 0, 1, 1, 2, 5, 0, 0, 0, 1), (1, 0, 2, 2, 1, 5, 0, 0, 0, 2)], {1: None, 2: None}), ([], {})):
         out = admission.admit_batches(spark.createDataFrame(rows, schema), accounts, buckets=2).collect()
         assert {r["transfer_id"]: r["error_code"] for r in out} == want
+
+
+def test_rounds_of_components_leave_no_estimates(spark):
+    """Sizes that a checkpoint remembers multiply in each join, and their digits from round to round, until the driver is full."""
+    path = spark.range(200).selectExpr("id as a", "id + 1 as b").union(spark.range(1).selectExpr("1000L as a", "1001L as b"))
+    found = components(path)
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 9
+    assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(201)] + [(1000, 1000), (1001, 1000)]
