@@ -1,6 +1,7 @@
 """Money, audit and streaming, and every query against its SQL."""
 
 import pickle
+import time
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from abacorn.functions import money as M
-from abacorn.operators import admission, audit, journal
+from abacorn.operators import admission, audit, idempotency, journal
 from abacorn.operators.graph import components
 from abacorn.plans import log_queries  # noqa: F401  registers its queries
 from abacorn.plans import queries as Q
@@ -245,3 +246,18 @@ def test_rounds_of_components_leave_no_estimates(spark):
     found = components(path)
     assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 9
     assert sorted(map(tuple, found.collect())) == [(i, 0) for i in range(201)] + [(1000, 1000), (1001, 1000)]
+
+
+def test_many_uses_of_one_key_take_linear_time(spark):
+    """What is known of a use was appended to an array that was copied for each, so a key's uses took quadratic time."""
+    items = spark.range(300_000).selectExpr("id as event_id", "'k' as idempotency_key", "id div 2 as ts_us")
+    start = time.monotonic()
+    fresh = [r[0] for r in idempotency.within_ttl(items, 999).where("fresh").orderBy("event_id").select("event_id").collect()]
+    assert fresh == list(range(0, 300_000, 2000)) and time.monotonic() - start < 60
+
+
+def test_keys_of_every_kind_and_uses_without_a_time(spark):
+    rows = [(1, b"a", 10), (2, b"a", 5), (3, b"a", 15), (4, b"b", 15), (5, None, 15), (6, b"a", None), (7, b"a", 16), (8, b"a", 16)]
+    items = spark.createDataFrame(rows, "event_id long, idempotency_key binary, ts_us long")
+    got = {r["event_id"]: r["fresh"] for r in idempotency.within_ttl(items, 10).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: True, 6: True, 7: True, 8: False}
