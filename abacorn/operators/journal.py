@@ -143,8 +143,11 @@ def _named(side: str) -> Column:
 def history(journal: DataFrame) -> DataFrame:
     """(account_id, lsn, transfer_id, position): what each account's history lists, in order of arrival; one leg where both sides are one account."""
     named = settled(journal).select("lsn", "transfer_id", F.explode(F.array_distinct(F.array(_named("debit"), _named("credit")))).alias("account_id"))
-    once = named.select("account_id", "lsn", "transfer_id").distinct().withColumn("run", F.floor(F.col("lsn") / RUN))
-    nth = F.row_number().over(W.partitionBy("account_id", "run").orderBy("lsn"))
+    # equal rows are told by their neighbour in the sort that places them; a hash table of all rows would grow with a task's input
+    order, row = W.partitionBy("account_id", "run").orderBy("lsn", "transfer_id"), F.struct("lsn", "transfer_id")
+    each = named.withColumn("run", F.floor(F.col("lsn") / RUN)).select("account_id", "lsn", "transfer_id", "run")
+    once = each.withColumn("again", F.lag(row).over(order).eqNullSafe(row)).where("not again").drop("again")
+    nth = F.row_number().over(order)
     placed = once.withColumn("nth", nth).join(_carried(once, F.lit(1)), ["account_id", "run"])
     return placed.select("account_id", "lsn", "transfer_id", (F.col("before") + F.col("nth")).cast("int").alias("position"))
 

@@ -1,6 +1,7 @@
 """Money, audit and streaming, and every query against its SQL."""
 
 import pickle
+import re
 import time
 
 import duckdb
@@ -261,3 +262,13 @@ def test_keys_of_every_kind_and_uses_without_a_time(spark):
     items = spark.createDataFrame(rows, "event_id long, idempotency_key binary, ts_us long")
     got = {r["event_id"]: r["fresh"] for r in idempotency.within_ttl(items, 10).collect()}
     assert got == {1: False, 2: True, 3: False, 4: True, 5: True, 6: True, 7: True, 8: False}
+
+
+def test_history_tells_equal_rows_without_a_hash_table(spark):
+    """A hash table of a task's rows grew with its input; equal rows still have one place."""
+    rows = [(1, 7, 1, 2, 10, 0, 1), (2, 7, 0, 0, 0, 0, 2), (3, 8, 2, 2, 5, 0, 0), (4, 9, 3, 1, 4, 0, 0)]
+    j = spark.createDataFrame(rows, "lsn long, transfer_id long, debit_account_id long, credit_account_id long, amount long, ledger long, flags long").withColumns({"ts_ns": F.col("lsn"), "timeout_ns": F.lit(0).cast("long"), "batch_id": F.lit(0)})
+    got = journal.history(j.union(j.where("lsn <> 2")).union(j.where("lsn = 3")))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 7, 1), (1, 2, 7, 2), (1, 4, 9, 3), (2, 1, 7, 1), (2, 2, 7, 2), (2, 3, 8, 3), (3, 4, 9, 1)]
+    tree = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [account_id" in tree and not re.search(r"Aggregate \[account_id#\d+L, lsn#", tree)
